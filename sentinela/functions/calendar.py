@@ -72,8 +72,14 @@ def from_epoch(seconds: Column) -> Column:
 
 
 def parse_birth_date(text: Column) -> Column:
-    """Year-month-day text as a date; NULL where it is not one."""
-    return F.try_to_date(text, "yyyy-MM-dd")
+    """Year-month-day text as a date; NULL where it is not one.
+
+    Dashes, slashes, dots or no separator at all. A cast, unlike a format parser,
+    raises no exception inside the task for every text that is not a date.
+    """
+    dashed = F.translate(F.trim(text), "/.", "--")
+    dashed = F.regexp_replace(dashed, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return F.when(dashed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), dashed.try_cast("date"))
 
 
 def spanish_month(date: Column) -> Column:

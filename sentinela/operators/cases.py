@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentinela.functions.calendar import ReportDates, parse_birth_date
 from sentinela.functions.scalars import approximate_age_days, site_type_of
@@ -103,8 +104,8 @@ def minimal_dataset(
 ) -> DataFrame:
     """Case line list: one row per subject, with one boolean per rule.
 
-    Flags are decoded before the deduplication shuffle, which then moves a few
-    booleans instead of the raw laboratory columns.
+    Results are decoded after the deduplication, for the surviving rows only. The
+    flags would be no narrower in the shuffle than the raw codes they come from.
     """
     service_date = F.to_date("fechaHoraAdmision")
     kept = (
@@ -113,32 +114,30 @@ def minimal_dataset(
         & (service_date < F.lit(dates.next_month_start))
         & F.col("SASubjectID").isNotNull()
     )
-    fixed = [
-        F.col("SubjectID").alias("unique_id"),
-        F.col("SASubjectID").alias("subject_id"),
-        service_date.alias("service_date"),
-        F.col("epiYearAdmision").alias("epi_year"),
-        F.col("epiWeekAdmision").alias("epi_week"),
-        site_type_of(F.col("SiteType")).alias("site_type"),
-        F.col("SiteName").alias("site_name"),
-        F.col("SiteDepartamento").alias("site_department"),
-        F.col("departamento").alias("subject_department"),
-        F.col("municipio").alias("subject_municipality"),
-        F.col("censo_comunidad").alias("subject_community"),
-        F.col("edadAnios").alias("age_years"),
-        F.col("edadMeses").alias("age_months"),
-        F.col("edadDias").alias("age_days"),
-        approximate_age_days(F.col("edadAnios"), F.col("edadMeses"), F.col("edadDias"))
-        .alias("age_aprox"),
-        F.datediff(service_date, parse_birth_date(F.col("fechaDeNacimiento")))
-        .alias("age_dates"),
-    ]
-    order = [F.col(o).alias(f"_order{i}") for i, o in enumerate(order_by)]
-    narrow = derive(raw, stages, [*fixed, *order, kept.alias("_kept")])
-    firsts = keep_first_seen(
-        narrow, ["unique_id"], [f"_order{i}" for i in range(len(order))], F.col("_kept"))
-    flags = [name for stage in stages for name in stage]
-    return firsts.select(*CASE_COLUMNS, *flags)
+    firsts = keep_first_seen(raw, ["SubjectID"], order_by, kept)
+    is_text = isinstance(raw.schema["fechaDeNacimiento"].dataType, T.StringType)
+    born = F.col("fechaDeNacimiento")
+    fixed = {
+        "unique_id": F.col("SubjectID"),
+        "subject_id": F.col("SASubjectID"),
+        "service_date": service_date,
+        "epi_year": F.col("epiYearAdmision"),
+        "epi_week": F.col("epiWeekAdmision"),
+        "site_type": site_type_of(F.col("SiteType")),
+        "site_name": F.col("SiteName"),
+        "site_department": F.col("SiteDepartamento"),
+        "subject_department": F.col("departamento"),
+        "subject_municipality": F.col("municipio"),
+        "subject_community": F.col("censo_comunidad"),
+        "age_years": F.col("edadAnios"),
+        "age_months": F.col("edadMeses"),
+        "age_days": F.col("edadDias"),
+        "age_aprox": approximate_age_days(
+            F.col("edadAnios"), F.col("edadMeses"), F.col("edadDias")),
+        "age_dates": F.datediff(
+            service_date, parse_birth_date(born) if is_text else F.to_date(born)),
+    }
+    return derive(firsts, stages, [fixed[name].alias(name) for name in CASE_COLUMNS])
 
 
 def syndrome_cases(raw: DataFrame, syndrome: Syndrome, dates: ReportDates,

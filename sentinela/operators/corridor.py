@@ -44,10 +44,15 @@ def _week_map(value: Column) -> Column:
     return F.map_from_entries(F.collect_list(entry))
 
 
+def _rolled_up(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Weekly counts of coarser groups; also lets one stored table serve several groupings."""
+    return counts.groupBy(*by, "epi_year", "epi_week").agg(F.sum("casos").alias("casos"))
+
+
 def corridor_current(counts: DataFrame, year: int, by: Sequence[str] = ()) -> DataFrame:
     """This year's line over weeks 1 to 52 (or the last seen week), NULL without cases."""
     this_year = F.col("epi_year") == year
-    groups = counts.groupBy(*by).agg(
+    groups = _rolled_up(counts, by).groupBy(*by).agg(
         F.greatest(F.lit(52), F.max(F.when(this_year, F.col("epi_week")))).alias("last_week"),
         _week_map(F.when(this_year, F.col("casos"))).alias("by_week"))
     return (groups
@@ -60,7 +65,7 @@ def history_quantiles(counts: DataFrame, year: int, previous_years: int,
     """Minimum, quartiles and maximum per week over the earlier years that had cases that week."""
     earlier = F.col("epi_year").between(year - previous_years, year - 1)
     quartiles = F.percentile("casos", [0.25, 0.5, 0.75])
-    weekly = counts.where(earlier).groupBy(*by, "epi_week").agg(
+    weekly = _rolled_up(counts.where(earlier), by).groupBy(*by, "epi_week").agg(
         F.min("casos").cast("double").alias("min"),
         quartiles.alias("quartiles"),
         F.max("casos").cast("double").alias("max"))

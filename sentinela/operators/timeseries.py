@@ -30,21 +30,34 @@ def period_counts_long(cases: DataFrame, etiologies: Sequence[str], scale: str =
         {"etiology": F.lit(e), "cases": F.col(e)} for e in etiologies])
 
 
+def _site_order(cases: DataFrame, site_names: Mapping[str, str], limit: int = 1000) -> list[str]:
+    """The sites present, recoded ones first; more than fit as columns are an error."""
+    found = [r[0] for r in cases.where(F.col("site_name").isNotNull())
+             .select("site_name").distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} sites; use series_long() instead")
+    first = [s for s in site_names if s in found]
+    return [*first, *sorted(set(found) - set(first))]
+
+
 def case_timeseries(
     cases: DataFrame,
     *,
     site_type: str,
     etiology: str,
-    sites: Sequence[str],
+    sites: Sequence[str] | None = None,
     scale: str = "month",
     site_names: Mapping[str, str] = SITE_NAMES,
 ) -> DataFrame:
     """One row per period and one column per site; NULL where a site had no case at all.
 
-    ``sites`` gives the column order. A single aggregate on the period: rows of the
-    same period are combined in each task before they are shuffled.
+    ``sites`` gives the column order; without it the site names of the type are read
+    first, the recoded ones in front. A single aggregate on the period: rows of the same
+    period are combined in each task before they are shuffled.
     """
     require_flags(cases, [etiology])
+    if sites is None:
+        sites = _site_order(cases.where(F.col("site_type") == site_type), site_names)
     columns = []
     for site in sites:
         here = F.col("site_name") == site

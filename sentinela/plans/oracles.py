@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sentinela.plans import tables as t
+from sentinela.syndromes import DIARRHEAL, FEBRILE, RESPIRATORY
 
 ORACLES: dict[str, str] = {}
 
@@ -264,6 +265,38 @@ select {''.join(f's.{k}, ' for k in keys)} s.g as "group", s.etiology, s.label,
 from grid s left join summary r on {on}"""
 
 
+def stored_positivity() -> str:
+    """Positivity of the three line lists; only diarrheal hospital cases are split."""
+    periods = {"this_month": "service_date between date '2001-07-01' and date '2001-08-01'",
+               "last_month": "service_date between date '2001-06-01' and date '2001-07-01'",
+               "all_time": "true"}
+    split = """case when site_type = 'hospital' then case when emergency and not admitted
+      then 'emergency' else 'admitted' end else 'all' end"""
+    views = {"respiratory": (t.RESPIRATORY, RESPI, RESPIRATORY),
+             "diarrheal": (t.DIARRHEAL, DIARREA, DIARRHEAL),
+             "febrile": (t.FEBRILE, FEBRIL, FEBRILE)}
+    parts = []
+    for name, (view, rules, pack) in views.items():
+        cells = " union all ".join(
+            f"""select site_name, disposition, '{period}' as "group", '{code}' as etiology,
+            '{label}' as label, {i} as ord,
+            count("{code}") filter (where {inside}) as n_tested,
+            count(*) filter (where {inside} and "{code}") as n_positive
+            from cases group by site_name, disposition"""
+            for period, inside in periods.items()
+            for i, (code, label) in enumerate(pack.table_labels.items(), 1))
+        disposition = split if name == "diarrheal" else "'all'"
+        # The view snapshot ends at last Friday, before the first row per subject is chosen.
+        lines = line_list(name, view, rules).replace(
+            "from raw),", "from raw where PDAInsertDate <= timestamp '2001-07-27'),", 1)
+        parts.append(f"""select '{name}' as syndrome, * from (with cases as (
+          select *, {disposition} as disposition from ({lines})) {cells})""")
+    return f"""select *, case when n_tested = 0 then 0
+      else round_even(n_positive / n_tested * 100, 0) end::double as percent_positive from ({' union all '.join(parts)})"""
+
+
+ORACLES["weekly_refresh"] = stored_positivity()
+
 ALL = "select * from cases"
 ORACLES["positivity_table"] = positivity(ALL)
 ORACLES["positivity_by_site"] = positivity(ALL, ("site_name",))

@@ -73,13 +73,11 @@ def snapshot_roundtrip(spark, sf):
 
 @query
 def weekly_refresh(spark, sf):
-    """A whole weekly refresh into a new folder, read back as the size of every table."""
-    from sentinela.plans.refresh import run_refresh
-
-    root = snapshots.new_folder(spark, "refresh")
-    stored = run_refresh(spark, refresh.sample_sources(spark, sf), root, DATES,
-                         settings=refresh.TEST_SETTINGS)
-    return refresh.table_sizes(stored)
+    """A whole weekly refresh into a new folder, and its stored positivity tables."""
+    stored = refresh.run_refresh(
+        spark, refresh.sample_sources(spark, sf), snapshots.new_folder(spark, "refresh"),
+        DATES, refresh.TEST_SETTINGS)
+    return refresh.stored_positivity(stored)
 
 
 # --- calendar --------------------------------------------------------------------------

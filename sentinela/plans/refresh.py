@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +14,15 @@ from sentinela import syndromes
 from sentinela.functions.calendar import ReportDates, from_epoch
 from sentinela.functions.results import disposition
 from sentinela.operators import (
-    cases as case_ops, corridor, curve, effort, maps, positivity, timeseries,
+    cases as case_ops, corridor, effort, maps, positivity, timeseries,
 )
 from sentinela.plans import tables
 from sentinela.sources import views
 from sentinela.sources.snapshots import Snapshots
 from sentinela.syndromes import Syndrome
 
+Builder = Callable[[], DataFrame]
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -58,43 +61,67 @@ def default_sources(communities: object, departments: object) -> Sources:
 
 
 def run_refresh(spark: SparkSession, sources: Sources, root: str, dates: ReportDates,
-                settings: Settings = Settings()) -> dict[str, DataFrame]:
+                settings: Settings = Settings(), parallel: int = 8) -> dict[str, DataFrame]:
     """Build or reuse every table of the week ``dates``; returns them by name.
 
-    Each view is read once per week into a snapshot; the line list and the small
-    weekly counts are stored as well, so no report scans the raw columns again. A
-    refresh that was interrupted goes on after the last finished table.
+    Tables are written in phases, those of one phase side by side, so the many small
+    report jobs share the cluster. Every view is read once per week into a snapshot;
+    line lists and weekly counts are stored as well, so no report scans raw columns
+    again. An interrupted refresh goes on after the tables already finished.
     """
     week = Snapshots(spark, root, dates.last_friday)
     always = Snapshots(spark, root, None)
-    out: dict[str, DataFrame] = {}
+    done: dict[str, DataFrame] = {}
 
-    def keep(name: str, build) -> DataFrame:
-        out[name] = week.get(name, build)
-        return out[name]
+    def phase(builders: Mapping[str, Builder]) -> None:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            stored = pool.map(lambda item: week.get(*item), builders.items())
+            done.update(zip(builders, stored))
 
-    columns = settings.group_columns or views.group_columns(settings.consent)
-    for group, source in sources.groups.items():
-        keep(f"group_{group}", lambda: views.select_columns(
-            views.open_source(spark, source), columns[group]))
+    phase(_source_tables(spark, sources, dates, settings))
     locations = always.get("locations", lambda: views.read_locations(
         views.open_source(spark, sources.locations)))
     communities = views.open_source(spark, sources.communities)
-    departments = views.open_source(spark, sources.departments)
 
+    packs = [syndromes.SYNDROMES[name] for name in sources.syndromes]
+    builders: dict[str, Builder] = {
+        "map_bounds": lambda: maps.map_bounds(views.open_source(spark, sources.departments)),
+        "screening_effort": lambda: effort.screening_effort(
+            _dated(done["group_subject"], settings), done["group_eligibility"], dates,
+            consent=settings.consent, sites=settings.sites,
+            soft_catchment=settings.soft_catchment),
+    }
+    for pack in packs:
+        builders[f"{pack.name}_cases"] = partial(
+            case_ops.syndrome_cases, done[f"view_{pack.name}"], pack, dates,
+            settings.sites, settings.order_by)
+    phase(builders)
+
+    builders = {"screening_effort_text": lambda: effort.effort_text(done["screening_effort"])}
+    for pack in packs:
+        builders |= _case_tables(pack, done, locations, communities, dates, settings)
+    phase(builders)
+
+    builders = {}
+    for pack in packs:
+        builders |= _summary_tables(pack, done, dates, settings)
+    phase(builders)
+    return done
+
+
+def _source_tables(spark: SparkSession, sources: Sources, dates: ReportDates,
+                   settings: Settings) -> dict[str, Builder]:
+    """Projections of the data groups and the bounded syndrome views."""
+    columns = settings.group_columns or views.group_columns(settings.consent)
+    builders: dict[str, Builder] = {}
+    for group, source in sources.groups.items():
+        builders[f"group_{group}"] = lambda group=group, source=source: views.select_columns(
+            views.open_source(spark, source), columns[group])
     for name, source in sources.syndromes.items():
-        raw = keep(f"view_{name}", lambda: views.query_view(
+        builders[f"view_{name}"] = lambda name=name, source=source: views.query_view(
             views.open_source(spark, source), settings.syndrome_columns[name],
-            dates.last_friday))
-        _syndrome_tables(keep, raw, syndromes.SYNDROMES[name], locations, communities,
-                         dates, settings)
-    keep("map_bounds", lambda: maps.map_bounds(departments))
-    keep("screening_effort", lambda: effort.screening_effort(
-        _dated(out["group_subject"], settings), out["group_eligibility"], dates,
-        consent=settings.consent, sites=settings.sites,
-        soft_catchment=settings.soft_catchment))
-    keep("screening_effort_text", lambda: effort.effort_text(out["screening_effort"]))
-    return out
+            dates.last_friday)
+    return builders
 
 
 def _dated(subjects: DataFrame, settings: Settings) -> DataFrame:
@@ -104,46 +131,61 @@ def _dated(subjects: DataFrame, settings: Settings) -> DataFrame:
     return subjects.withColumns({c: from_epoch(F.col(c)) for c in dates})
 
 
-def _syndrome_tables(keep, raw: DataFrame, syndrome: Syndrome, locations: DataFrame,
-                     communities: DataFrame, dates: ReportDates, settings: Settings) -> None:
-    """All report tables of one syndrome, every site and disposition in the same job."""
-    prefix, by = syndrome.name, ["site_name"]
-    cases = keep(f"{prefix}_cases", lambda: case_ops.syndrome_cases(
-        raw, syndrome, dates, settings.sites, settings.order_by))
+def _grouping(syndrome: Syndrome) -> list[str]:
+    return ["site_name", "disposition"] if syndrome.has_disposition else ["site_name"]
+
+
+def with_disposition(cases: DataFrame) -> DataFrame:
+    """Hospital cases split by disposition; a clinic shows all its cases together."""
+    split = disposition(F.col("admitted"), F.col("emergency"))
+    return cases.withColumn(
+        "disposition", F.when(F.col("site_type") == "hospital", split).otherwise("all"))
+
+
+def _case_tables(syndrome: Syndrome, done: Mapping[str, DataFrame], locations: DataFrame,
+                 communities: DataFrame, dates: ReportDates,
+                 settings: Settings) -> dict[str, Builder]:
+    """Tables that read the line list, all sites and dispositions in the same job."""
+    name, by = syndrome.name, _grouping(syndrome)
+    cases = done[f"{name}_cases"]
     if syndrome.has_disposition:
-        by = ["site_name", "disposition"]
-        # Only hospital sites are split; a clinic shows all its cases together.
-        cases = cases.withColumn("disposition", F.when(
-            F.col("site_type") == "hospital",
-            disposition(F.col("admitted"), F.col("emergency"))).otherwise("all"))
-
-    keep(f"{prefix}_positivity", lambda: positivity.positivity_table(
-        cases, syndrome.table_labels, dates, by=by))
-    counts = keep(f"{prefix}_weekly_counts", lambda: corridor.weekly_counts(cases, by))
+        cases = with_disposition(cases)
+    return {
+        f"{name}_positivity": lambda: positivity.positivity_table(
+            cases, syndrome.table_labels, dates, by=by),
+        f"{name}_weekly_counts": lambda: corridor.weekly_counts(cases, by),
+        f"{name}_monthly": lambda: timeseries.period_counts(cases, list(syndrome.labels)),
+        f"{name}_map_points": lambda: maps.case_map_points(
+            cases, locations, communities, syndrome.labels, dates,
+            department=settings.map_departments, months=settings.map_months),
+    }
+
+
+def _summary_tables(syndrome: Syndrome, done: Mapping[str, DataFrame], dates: ReportDates,
+                    settings: Settings) -> dict[str, Builder]:
+    """Tables that only read the small tables of the phase before."""
+    name, by = syndrome.name, _grouping(syndrome)
     bands = corridor.corridor_from_counts(
-        counts, dates, settings.previous_years, syndrome.ylim, by)
-    keep(f"{prefix}_corridor_current", lambda: bands.current)
-    keep(f"{prefix}_corridor_range", lambda: bands.range)
-    keep(f"{prefix}_corridor_polygons", lambda: bands.polygons)
-    for site_type in ("hospital", "centro de salud"):
-        short = "hospital" if site_type == "hospital" else "clinic"
-        keep(f"{prefix}_curve_{short}", lambda: curve.epidemic_curve(
-            cases, syndrome.labels, site_type))
-    points = keep(f"{prefix}_map_points", lambda: maps.case_map_points(
-        cases, locations, communities, syndrome.labels, dates,
-        department=settings.map_departments, months=settings.map_months))
-    keep(f"{prefix}_map_labels", lambda: maps.community_labels(points))
-    monthly = keep(f"{prefix}_monthly", lambda: timeseries.period_counts(
-        cases, list(syndrome.labels)))
-    keep(f"{prefix}_axis", lambda: timeseries.largest_count(monthly, list(syndrome.labels)))
-
-
-def table_sizes(stored: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows per table, counted in parallel branches of one job."""
-    counts = [
-        table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        for name, table in stored.items()]
-    return reduce(DataFrame.unionByName, counts)
+        done[f"{name}_weekly_counts"], dates, settings.previous_years, syndrome.ylim, by)
+    monthly, points = done[f"{name}_monthly"], done[f"{name}_map_points"]
+    return {
+        f"{name}_corridor_current": lambda: bands.current,
+        f"{name}_corridor_range": lambda: bands.range,
+        f"{name}_corridor_polygons": lambda: bands.polygons,
+        f"{name}_map_labels": lambda: maps.community_labels(points),
+        f"{name}_axis": lambda: timeseries.largest_count(monthly, list(syndrome.labels)),
+    }
+
+
+def stored_positivity(stored: Mapping[str, DataFrame]) -> DataFrame:
+    """The positivity tables of all syndromes of a refresh, one below the other."""
+    parts = []
+    for name, pack in syndromes.SYNDROMES.items():
+        table = stored[f"{name}_positivity"]
+        if not pack.has_disposition:
+            table = table.withColumn("disposition", F.lit("all"))
+        parts.append(table.withColumn("syndrome", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- the refresh on the test tables ------------------------------------------------------

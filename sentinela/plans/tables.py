@@ -28,8 +28,10 @@ ETIOLOGIES = {"flu": "Influenza", "rsv": "Virus sincitial", "pneumo": "Neumococo
 
 def cycle(number: int, *values: str) -> str:
     """SQL that walks through values as the order key grows, one step every ``number`` keys."""
-    branches = " ".join(f"when {i} then {v}" for i, v in enumerate(values))
-    return f"case cast(floor(o_orderkey / {number}.0) as bigint) % {len(values)} {branches} end"
+    span = number * len(values)
+    step = f"o_orderkey % {span} - o_orderkey % {number}"
+    branches = " ".join(f"when {i * number} then {v}" for i, v in enumerate(values))
+    return f"case {step} {branches} end"
 
 
 # Columns every raw view has.
