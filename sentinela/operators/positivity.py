@@ -28,34 +28,55 @@ def positivity_table(
 ) -> DataFrame:
     """Long positivity table, complete over the three periods and all labelled codes.
 
-    One pass with map-side conditional counts: each task emits one row per group,
-    which is unpivoted after the final aggregate. Rows are never multiplied by
-    period or etiology before the shuffle. ``by`` computes all sites in one job.
+    ``by`` computes all sites in one job. The cases are only counted per group and
+    combination of periods they fall into (at most four): two counts per etiology, kept
+    small by map-side aggregation. Overlapping periods are added up from those few rows,
+    so no case row is ever repeated per period or etiology.
     """
     require_flags(cases, list(labels))
     cases = at_sites(cases, site)
     if condition is not None:
         cases = cases.where(condition)
-    in_period = dates.periods(F.col("service_date"))
-    counts, records = [], []
-    for period in PERIODS:
-        for order, code, label in ordered_codes(labels):
-            tested, positive = f"t_{period}_{order}", f"p_{period}_{order}"
-            counts += [
-                F.count(F.when(in_period[period], F.col(code))).alias(tested),
-                F.count_if(in_period[period] & F.col(code)).alias(positive),
-            ]
-            records.append({
-                "group": F.lit(period),
-                "etiology": F.lit(code),
-                "label": F.lit(label),
-                "ord": F.lit(order),
-                "n_tested": F.col(tested),
-                "n_positive": F.col(positive),
-                "percent_positive": F.coalesce(
-                    percent(F.col(positive), F.col(tested)), F.lit(0.0)),
-            })
-    return unpivot_records(cases.groupBy(*by).agg(*counts), by, records)
+    counts = {code: (F.count(code), F.count_if(F.col(code))) for code in labels}
+    return _table(cases, labels, dates, by, counts)
+
+
+def positivity_from_cube(cube: DataFrame, labels: Mapping[str, str], dates: ReportDates, *,
+                         by: Sequence[str] = ()) -> DataFrame:
+    """The same table from a daily cube of the cases."""
+    counts = {code: (F.sum(f"{code}_tested"), F.sum(f"{code}_positive")) for code in labels}
+    return _table(cube, labels, dates, by, counts)
+
+
+def _table(rows: DataFrame, labels: Mapping[str, str], dates: ReportDates, by: Sequence[str],
+           counts: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    inside = dates.periods(F.col("service_date"))
+    flags = {period: F.coalesce(inside[period], F.lit(False)) for period in PERIODS[:2]}
+    sums = {}
+    for code, (tested, positive) in counts.items():
+        sums |= {f"t_{code}": tested, f"p_{code}": positive}
+    parts = rows.groupBy(*by, *[flag.alias(p) for p, flag in flags.items()]).agg(
+        *[count.alias(name) for name, count in sums.items()])
+    if not by:
+        # Without groups the table is complete even if there is no case at all.
+        empty = rows.sparkSession.range(1).select(
+            *[F.lit(False).alias(p) for p in flags],
+            *[F.lit(0).cast("bigint").alias(name) for name in sums])
+        parts = parts.unionByName(empty)
+
+    by_period = unpivot_records(parts, [*by, *sums], [
+        {"group": F.lit(p), "inside": F.col(p) if p in flags else F.lit(True)} for p in PERIODS])
+    long = unpivot_records(by_period, [*by, "group", "inside"], [
+        {"etiology": F.lit(code), "label": F.lit(label), "ord": F.lit(order),
+         "tested": F.col(f"t_{code}"), "positive": F.col(f"p_{code}")}
+        for order, code, label in ordered_codes(labels)])
+    n_tested, n_positive = [
+        F.sum(F.when(F.col("inside"), F.col(c)).otherwise(0)) for c in ("tested", "positive")]
+    return (
+        long.groupBy(*by, "group", "etiology", "label", "ord")
+        .agg(n_tested.alias("n_tested"), n_positive.alias("n_positive"))
+        .withColumn("percent_positive", F.coalesce(
+            percent(F.col("n_positive"), F.col("n_tested")), F.lit(0.0))))
 
 
 def positivity_text(table: DataFrame, *, by: Sequence[str] = (),

@@ -389,6 +389,15 @@ select site_name, epi_week, 'min' as zona, min(casos)::double as quantile from c
 union all
 select site_name, epi_week, 'max', max(casos)::double from counts group by all"""
 
+ORACLES["daily_cube"] = f"""with {CASES} select site_type, site_name, service_date, epi_year, epi_week,
+  count(*) as cases, {', '.join(f'count({f}) as {f}_tested, '
+  f'count(*) filter (where {f}) as {f}_positive' for f in FLAGS)} from cases group by all"""
+ORACLES["positivity_from_cube"] = ORACLES["positivity_by_site"]
+ORACLES["weekly_counts_from_cube"] = ORACLES["weekly_counts"]
+ORACLES["period_counts_from_cube"] = f"""with {CASES} select site_type, site_name,
+  cast(date_trunc('quarter', service_date) as date) as service_date,
+  {', '.join(f'count(*) filter (where {f}) as {f}' for f in FLAGS)} from cases group by 1, 2, 3"""
+
 # --- curve, maps -----------------------------------------------------------------------
 
 ORACLES["epidemic_curve"] = f"""with {CASES},

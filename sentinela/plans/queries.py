@@ -12,7 +12,7 @@ from sentinela import syndromes
 from sentinela.functions import calendar as cal
 from sentinela.functions import results, scalars
 from sentinela.operators import (
-    cases as case_ops, corridor, curve, effort, maps, positivity, reshape, series, timeseries,
+    cases as case_ops, corridor, cube, curve, effort, maps, positivity, reshape, series, timeseries,
 )
 from sentinela.plans import refresh, tables
 from sentinela.plans.tables import DATES, ETIOLOGIES, PREVIOUS_YEARS
@@ -274,6 +274,26 @@ def positivity_text_table(spark, sf):
     return positivity.positivity_text(positivity_by_site(spark, sf), by=SITE)
 
 
+@query
+def daily_cube(spark, sf):
+    return cube.daily_cube(tables.cases(spark, sf), FLAGS, ["site_type", "site_name"])
+
+
+@query
+def positivity_from_cube(spark, sf):
+    return positivity.positivity_from_cube(daily_cube(spark, sf), ETIOLOGIES, DATES, by=SITE)
+
+
+@query
+def weekly_counts_from_cube(spark, sf):
+    return cube.cube_weekly_counts(daily_cube(spark, sf), SITE)
+
+
+@query
+def period_counts_from_cube(spark, sf):
+    return cube.cube_period_counts(daily_cube(spark, sf), FLAGS, "quarter")
+
+
 # --- corridor --------------------------------------------------------------------------
 
 def _counts(spark, sf, by=SITE) -> DataFrame:

@@ -14,7 +14,7 @@ from sentinela import syndromes
 from sentinela.functions.calendar import ReportDates, from_epoch
 from sentinela.functions.results import disposition
 from sentinela.operators import (
-    cases as case_ops, corridor, effort, maps, positivity, timeseries,
+    cases as case_ops, corridor, cube, effort, maps, positivity, timeseries,
 )
 from sentinela.plans import tables
 from sentinela.sources import views
@@ -65,9 +65,10 @@ def run_refresh(spark: SparkSession, sources: Sources, root: str, dates: ReportD
     """Build or reuse every table of the week ``dates``; returns them by name.
 
     Tables are written in phases, those of one phase side by side, so the many small
-    report jobs share the cluster. Every view is read once per week into a snapshot;
-    line lists and weekly counts are stored as well, so no report scans raw columns
-    again. An interrupted refresh goes on after the tables already finished.
+    report jobs share the cluster. Every view is read once per week into a snapshot,
+    every line list is read once for its daily cube and once for its recent located
+    cases; all other tables add those up. An interrupted refresh goes on after the
+    tables already finished.
     """
     week = Snapshots(spark, root, dates.last_friday)
     always = Snapshots(spark, root, None)
@@ -104,7 +105,7 @@ def run_refresh(spark: SparkSession, sources: Sources, root: str, dates: ReportD
 
     builders = {}
     for pack in packs:
-        builders |= _summary_tables(pack, done, dates, settings)
+        builders |= _cube_tables(pack, done, dates, settings)
     phase(builders)
     return done
 
@@ -145,35 +146,37 @@ def with_disposition(cases: DataFrame) -> DataFrame:
 def _case_tables(syndrome: Syndrome, done: Mapping[str, DataFrame], locations: DataFrame,
                  communities: DataFrame, dates: ReportDates,
                  settings: Settings) -> dict[str, Builder]:
-    """Tables that read the line list, all sites and dispositions in the same job."""
+    """The two tables that read the line list, all sites and dispositions in one job each."""
     name, by = syndrome.name, _grouping(syndrome)
     cases = done[f"{name}_cases"]
     if syndrome.has_disposition:
         cases = with_disposition(cases)
     return {
-        f"{name}_positivity": lambda: positivity.positivity_table(
-            cases, syndrome.table_labels, dates, by=by),
-        f"{name}_weekly_counts": lambda: corridor.weekly_counts(cases, by),
-        f"{name}_monthly": lambda: timeseries.period_counts(cases, list(syndrome.labels)),
+        f"{name}_daily": lambda: cube.daily_cube(
+            cases, list(syndrome.table_labels), ["site_type", *by]),
         f"{name}_map_points": lambda: maps.case_map_points(
             cases, locations, communities, syndrome.labels, dates,
             department=settings.map_departments, months=settings.map_months),
     }
 
 
-def _summary_tables(syndrome: Syndrome, done: Mapping[str, DataFrame], dates: ReportDates,
-                    settings: Settings) -> dict[str, Builder]:
-    """Tables that only read the small tables of the phase before."""
-    name, by = syndrome.name, _grouping(syndrome)
+def _cube_tables(syndrome: Syndrome, done: Mapping[str, DataFrame], dates: ReportDates,
+                 settings: Settings) -> dict[str, Builder]:
+    """Tables that add up the daily cube or the located cases."""
+    name, by, etiologies = syndrome.name, _grouping(syndrome), list(syndrome.labels)
+    daily, points = done[f"{name}_daily"], done[f"{name}_map_points"]
     bands = corridor.corridor_from_counts(
-        done[f"{name}_weekly_counts"], dates, settings.previous_years, syndrome.ylim, by)
-    monthly, points = done[f"{name}_monthly"], done[f"{name}_map_points"]
+        cube.cube_weekly_counts(daily, by), dates, settings.previous_years, syndrome.ylim, by)
     return {
+        f"{name}_positivity": lambda: positivity.positivity_from_cube(
+            daily, syndrome.table_labels, dates, by=by),
         f"{name}_corridor_current": lambda: bands.current,
         f"{name}_corridor_range": lambda: bands.range,
         f"{name}_corridor_polygons": lambda: bands.polygons,
+        f"{name}_monthly": lambda: cube.cube_period_counts(daily, etiologies),
+        f"{name}_axis": lambda: timeseries.largest_count(
+            cube.cube_period_counts(daily, etiologies), etiologies),
         f"{name}_map_labels": lambda: maps.community_labels(points),
-        f"{name}_axis": lambda: timeseries.largest_count(monthly, list(syndrome.labels)),
     }
 
 

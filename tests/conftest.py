@@ -7,10 +7,12 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from sentinela.session import tune  # noqa: E402
+
 
 def make_session():
     session = (
-        SparkSession.builder.master("local[8]").appName("sentinela-tests")
+        tune(SparkSession.builder).master("local[8]").appName("sentinela-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
