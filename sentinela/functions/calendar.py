@@ -67,7 +67,7 @@ def in_trailing_months(date: Column, last_friday: Column, months: int) -> Column
 
 def from_epoch(seconds: Column) -> Column:
     """Epoch seconds as a zone-free timestamp, so later date casts do not depend on the session."""
-    origin = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    origin = F.lit("1970-01-01").cast("timestamp_ntz")
     return origin + F.make_dt_interval(secs=seconds)
 
 
