@@ -19,8 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session, whose executors are this machine, falls back to a new
     temporary folder.
     """
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_SETTING)
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder
     if spark.sparkContext.master.startswith("local"):
