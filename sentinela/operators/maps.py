@@ -122,6 +122,8 @@ def tile_bins(points: DataFrame, zooms: Sequence[int], by: Sequence[str] = (),
 
     Points are aggregated once at the deepest zoom; a tile's parent is found by
     halving its numbers, so lower zooms add up tiles instead of reading points again.
+    Coordinates are added as whole billionths of a degree, in a high and a low part that
+    cannot overflow: the mean does not depend on the order of rows.
     """
     deepest = max(zooms)
     n_tiles = float(1 << deepest)
@@ -135,11 +137,21 @@ def tile_bins(points: DataFrame, zooms: Sequence[int], by: Sequence[str] = (),
     def inside(tile: Column) -> Column:
         return F.least(F.greatest(tile, F.lit(0)), last).cast("bigint")
 
+    def parts(column: str) -> tuple[Column, Column]:
+        whole = F.rint(F.col(column) * 1e9).cast("bigint")
+        return F.shiftright(whole, 20), whole.bitwiseAND(F.lit((1 << 20) - 1))
+
+    def mean(column: str) -> Column:
+        high, low = F.sum(f"{column}_high"), F.sum(f"{column}_low")
+        return (high / F.sum("n") * float(1 << 20) + low / F.sum("n")) / 1e9
+
+    sums = {f"{name}_{part}": F.sum(value)
+            for name, column in (("long", long), ("lat", lat))
+            for part, value in zip(("high", "low"), parts(column))}
     fine = (
         points.where(F.col(long).isNotNull() & F.col(lat).isNotNull())
         .groupBy(*by, inside(x).alias("x"), inside(y).alias("y"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(long).alias("sum_long"),
-             F.sum(lat).alias("sum_lat")))
+        .agg(F.count(F.lit(1)).alias("n"), *[v.alias(name) for name, v in sums.items()]))
     levels = fine.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in sorted(zooms)])))
     scale = F.pow(F.lit(2.0), F.lit(deepest) - F.col("zoom"))
     return (
@@ -148,5 +160,4 @@ def tile_bins(points: DataFrame, zooms: Sequence[int], by: Sequence[str] = (),
             "y": F.floor(F.col("y") / scale).cast("bigint")})
         .groupBy(*by, "zoom", "x", "y")
         .agg(F.sum("n").alias("n"),
-             (F.sum("sum_long") / F.sum("n")).alias("long"),
-             (F.sum("sum_lat") / F.sum("n")).alias("lat")))
+             mean("long").alias("long"), mean("lat").alias("lat")))

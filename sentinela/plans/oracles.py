@@ -5,6 +5,9 @@ from __future__ import annotations
 from sentinela.plans import tables as t
 from sentinela.syndromes import DIARRHEAL, FEBRILE, RESPIRATORY
 
+# Inexact doubles are compared at six digits. They are first cut to twelve, so that sums
+# which differ only in their last bits fall on the same side of a tie.
+
 ORACLES: dict[str, str] = {}
 
 WEDNESDAY = ("(cast(o_orderdate as date) - cast(dayofweek(cast(o_orderdate as date)) as int) + 3)")
@@ -442,9 +445,9 @@ ORACLES["case_map_bounds"] = """with outline as (select
   from customer join nation on c_nationkey = n_nationkey),
 b as (select region, max(lat) as n, min(lat) as s, min(long) as w, max(long) as e
   from outline group by 1)
-select region, round(n + 0.005, 6) as lat1, round(w, 6) as lng1, round(s - 0.005, 6) as lat2,
-  round(e, 6) as lng2, round(n + 0.005 - 0.06, 6) as fit_lat1, round(w + 0.01, 6) as fit_lng1,
-  round(s - 0.005 + 0.06, 6) as fit_lat2, round(e - 0.01, 6) as fit_lng2 from b"""
+select region, round((n + 0.005)::decimal(30, 12), 6)::double as lat1, round((w)::decimal(30, 12), 6)::double as lng1, round((s - 0.005)::decimal(30, 12), 6)::double as lat2,
+  round((e)::decimal(30, 12), 6)::double as lng2, round((n + 0.005 - 0.06)::decimal(30, 12), 6)::double as fit_lat1, round((w + 0.01)::decimal(30, 12), 6)::double as fit_lng1,
+  round((s - 0.005 + 0.06)::decimal(30, 12), 6)::double as fit_lat2, round((e - 0.01)::decimal(30, 12), 6)::double as fit_lng2 from b"""
 JOINED = f"""{CASES}, {PLACES}, located as (select c.*, p.community_code from cases c
   left join places p on {SAME_PLACE})"""
 ORACLES["location_join_nullsafe"] = f"""with {JOINED} select unique_id, subject_department,
@@ -460,7 +463,7 @@ tiles as (select *,
   least(greatest(floor((long + 180) / 360 * power(2, zoom)), 0), power(2, zoom) - 1)::bigint as x,
   least(greatest(floor((1 - ln(tan(phi) + 1 / cos(phi)) / pi()) / 2 * power(2, zoom)), 0),
     power(2, zoom) - 1)::bigint as y from zoomed)
-select zoom, x, y, count(*) as n, round(avg(long), 6) as long, round(avg(lat), 6) as lat
+select zoom, x, y, count(*) as n, round((sum(long::decimal(14, 9))::double / count(*))::decimal(30, 12), 6)::double as long, round((sum(lat::decimal(14, 9))::double / count(*))::decimal(30, 12), 6)::double as lat
 from tiles group by all"""
 
 # --- period time series ----------------------------------------------------------------
@@ -543,9 +546,8 @@ ORACLES["catchment_filter"] = f"""with {EFFORT} select SiteName, NombreMunicipio
 GAPS = """points as (select event_type, t, case when event_type = 'click'
     or not (day(t) <= 2 or day(t) % 7 = 4 or day(t) >= 29) then y end as y
   from (select event_type, cast(ts as date) as t, avg(value) as y from events group by all))"""
-ORACLES["rolling_mean"] = f"""with {GAPS} select event_type, t, round(y, 6) as y,
-  round(avg(y) over (partition by event_type order by t rows between 6 preceding and current row),
-    6) as rolled from points"""
+ORACLES["rolling_mean"] = f"""with {GAPS} select event_type, t, round((y)::decimal(30, 12), 6)::double as y,
+  round((avg(y) over (partition by event_type order by t rows between 6 preceding and current row))::decimal(30, 12), 6)::double as rolled from points"""
 
 
 def shares(den: str, n: int) -> str:
@@ -560,28 +562,31 @@ shared as (select *, case when sum_den <> 0 then sum_num / sum_den else 0 end as
 
 SOME = "case when day(cast(ts as date)) > 3 then count(*) else 0 end"
 ORACLES["rolling_proportion"] = f"""with {shares(SOME, 3)} select event_type, t, num, den,
-  sum_num, sum_den, round(100 * p, 6)::double as rolled from shared"""
+  sum_num, sum_den, round((100 * p)::decimal(30, 12), 6)::double::double as rolled from shared"""
+
+def wilson(sign: str) -> str:
+    """One limit in closed form; there is none for a share above one."""
+    limit = f"""100 * (p + 2 / sum_den
+      {sign} 2 * sqrt(p * (1 - p) / sum_den + 1 / (sum_den * sum_den))) / (1 + 4 / sum_den)"""
+    return f"""case when sum_den = 0 then 0 when isnan({limit}) then 'nan'::double
+      else round(({limit})::decimal(30, 12), 6)::double end"""
+
+
 ORACLES["wilson_band"] = f"""with {shares(SOME, 3)} select event_type, t, num, den, sum_num, sum_den,
-  case when sum_den <> 0 then round(100 * p, 6) else 0 end::double as rolled,
-  case when sum_den <> 0 then round(100 * (p + 2 / sum_den
-    - 2 * sqrt(p * (1 - p) / sum_den + 1 / (sum_den * sum_den))) / (1 + 4 / sum_den), 6)
-    else 0 end::double as low,
-  case when sum_den <> 0 then round(100 * (p + 2 / sum_den
-    + 2 * sqrt(p * (1 - p) / sum_den + 1 / (sum_den * sum_den))) / (1 + 4 / sum_den), 6)
-    else 0 end::double as high
-from shared"""
+  round((100 * p)::decimal(30, 12), 6)::double as rolled,
+  {wilson('-')} as low, {wilson('+')} as high from shared"""
 ORACLES["normal_band"] = f"""with {shares('count(*)', 5)} select event_type, t, num, den, sum_num,
-  sum_den, round(100 * p, 6) as rolled,
-  round(100 * (p - 2 * sqrt(p * (1 - p) / sum_den)), 6) as low,
-  round(100 * (p + 2 * sqrt(p * (1 - p) / sum_den)), 6) as high from shared"""
+  sum_den, round((100 * p)::decimal(30, 12), 6)::double as rolled,
+  round((100 * (p - 2 * sqrt(p * (1 - p) / sum_den)))::decimal(30, 12), 6)::double as low,
+  round((100 * (p + 2 * sqrt(p * (1 - p) / sum_den)))::decimal(30, 12), 6)::double as high from shared"""
 ORACLES["rolling_band"] = """with points as (select event_type, cast(ts as date) as t,
   min(value) as low, avg(value) as mid, max(value) as high from events group by all),
 known as (select event_type, t, low, case when day(t) % 5 <> 0 then mid end as mid, high
   from points)
-select event_type, t, round(low, 6) as low, round(mid, 6) as mid, round(high, 6) as high,
-  round(avg(case when mid is not null then low end) over w, 6) as rolled_low,
-  round(avg(mid) over w, 6) as rolled_mid,
-  round(avg(case when mid is not null then high end) over w, 6) as rolled_high
+select event_type, t, round((low)::decimal(30, 12), 6)::double as low, round((mid)::decimal(30, 12), 6)::double as mid, round((high)::decimal(30, 12), 6)::double as high,
+  round((avg(case when mid is not null then low end) over w)::decimal(30, 12), 6)::double as rolled_low,
+  round((avg(mid) over w)::decimal(30, 12), 6)::double as rolled_mid,
+  round((avg(case when mid is not null then high end) over w)::decimal(30, 12), 6)::double as rolled_high
 from known window w as (partition by event_type order by t
   rows between 3 preceding and current row)"""
 ORACLES["rolling_error"] = """with points as (select event_type, cast(ts as date) as t,
@@ -589,16 +594,16 @@ ORACLES["rolling_error"] = """with points as (select event_type, cast(ts as date
 sums as (select *, avg(y) over w as m, 2 * sqrt(sum(error * error) over w) / count(y) over w as h
   from points window w as (partition by event_type order by t
     rows between 4 preceding and current row))
-select event_type, t, round(y, 6) as y, round(error, 6) as error, round(m, 6) as rolled,
-  round(m - h, 6) as low, round(m + h, 6) as high from sums"""
+select event_type, t, round((y)::decimal(30, 12), 6)::double as y, round((error)::decimal(30, 12), 6)::double as error, round((m)::decimal(30, 12), 6)::double as rolled,
+  round((m - h)::decimal(30, 12), 6)::double as low, round((m + h)::decimal(30, 12), 6)::double as high from sums"""
 OVERVIEW = f"{GAPS}, overview as (select t, avg(y) as y from points group by t)"
-ORACLES["series_overview"] = f"with {OVERVIEW} select t, round(y, 6) as y from overview"
+ORACLES["series_overview"] = f"with {OVERVIEW} select t, round((y)::decimal(30, 12), 6)::double as y from overview"
 ORACLES["overview_limits"] = f"""with {OVERVIEW}, b as (select min(y) as lo, max(y) as hi
   from overview)
-select round(lo - 0.25 * case when hi > lo then hi - lo else hi end, 6) as y_min,
-  round(hi + 0.25 * case when hi > lo then hi - lo else hi end, 6) as y_max from b"""
+select round((lo - 0.25 * case when hi > lo then hi - lo else hi end)::decimal(30, 12), 6)::double as y_min,
+  round((hi + 0.25 * case when hi > lo then hi - lo else hi end)::decimal(30, 12), 6)::double as y_max from b"""
 ORACLES["overview_limits_log"] = f"""with {OVERVIEW}
-select round(log10(min(y)), 6) as y_min, round(1.25 * log10(max(y)), 6) as y_max from overview
+select round((log10(min(y)))::decimal(30, 12), 6)::double as y_min, round((1.25 * log10(max(y)))::decimal(30, 12), 6)::double as y_max from overview
 where y > 0"""
 EVENT_ORDER = ["view", "click", "signup", "purchase", "error"]
 
@@ -616,8 +621,8 @@ near as (select *, last_value(case when y is not null then t end ignore nulls) o
       rows between unbounded preceding and 1 preceding),
     a as (partition by event_type order by t rows between 1 following and unbounded following)),
 filled as (select *, coalesce(y, {missing}, 0) as f from near)
-select t, event_type, ord, round(y, 6) as y, round(sum(f) over
-  (partition by t order by ord desc rows between unbounded preceding and current row), 6)
+select t, event_type, ord, round((y)::decimal(30, 12), 6)::double as y, round((sum(f) over
+  (partition by t order by ord desc rows between unbounded preceding and current row))::decimal(30, 12), 6)::double
   as y_stacked from filled"""
 
 
@@ -629,7 +634,7 @@ ORACLES["range_cut"] = f"""with {GAPS}, b as (select event_type, coalesce(max(t)
     (where t < date '2024-01-05' and y is not null), min(t)) as lo,
   coalesce(min(t) filter (where t > date '2024-01-17' and y is not null), max(t)) as hi
   from points group by 1)
-select p.event_type, p.t, round(p.y, 6) as y from points p
+select p.event_type, p.t, round((p.y)::decimal(30, 12), 6)::double as y from points p
 join b on b.event_type = p.event_type and p.t between b.lo and b.hi"""
 ORACLES["series_extremes"] = """select event_type, min(value) as y_min, max(value) as y_max
 from events where not isnan(value) group by 1"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela import syndromes
@@ -31,9 +31,16 @@ def query(function: Query) -> Query:
     return function
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Round sums of doubles, whose last digits depend on the order of addition."""
-    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Six digits of doubles whose last bits depend on the order of addition.
+
+    Cut to twelve digits first, so that such sums fall on the same side of a tie.
+    """
+    def six(c: str) -> Column:
+        return F.when(~F.isnan(c), F.round(F.col(c).cast("decimal(30,12)"), 6).cast("double")
+                      ).otherwise(F.col(c))
+
+    return df.withColumns({c: six(c) for c in columns})
 
 
 # --- sources ---------------------------------------------------------------------------
