@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sentinela.functions.calendar import ReportDates, parse_birth_date
 from sentinela.functions.scalars import approximate_age_days, site_type_of
-from sentinela.syndromes import ACTIVE_SITES, Syndrome
+from sentinela.syndromes import ACTIVE_SITES, RESIDUAL_LABELS, Syndrome
 
 # Columns of the case line list that precede the result flags.
 CASE_COLUMNS = [
@@ -145,7 +145,9 @@ def syndrome_cases(raw: DataFrame, syndrome: Syndrome, dates: ReportDates,
                    order_by: Sequence[str] = FIRST_SEEN_ORDER) -> DataFrame:
     """The line list of one syndrome from the rows of its view."""
     stages = [syndrome.results(), syndrome.residuals()]
-    return minimal_dataset(raw, syndrome.condition(), stages, dates, places, order_by)
+    cases = minimal_dataset(raw, syndrome.condition(), stages, dates, places, order_by)
+    last = list(RESIDUAL_LABELS)
+    return cases.select(*[c for c in cases.columns if c not in last], *last)
 
 
 def sort_cases(cases: DataFrame) -> DataFrame:

@@ -151,7 +151,8 @@ def endemic_corridor(
     etiologies: str | Sequence[str] = "all",
     previous_years: int = 7,
     ylim: float = 100,
+    check_site: bool = False,
 ) -> Corridor:
     """Corridor tables straight from a case line list."""
-    cases = positive_for_all(at_sites(cases, site), etiologies)
+    cases = positive_for_all(at_sites(cases, site, check=check_site), etiologies)
     return corridor_from_counts(weekly_counts(cases, by), dates, previous_years, ylim, by)

@@ -26,6 +26,9 @@ MEASURES = {
     "elegibleFebril": "Síndrome febril",
 }
 
+# More sites than this are not spread over columns.
+MOST_COLUMNS = 1000
+
 
 def in_catchment(sites: Sequence[str] = tuple(ACTIVE_SITES),
                  soft: Mapping[str, str] = SOFT_CATCHMENT) -> Column:
@@ -113,9 +116,13 @@ def effort_text(effort: DataFrame) -> DataFrame:
 def effort_table(effort: DataFrame, headings: Sequence[str] | None = None) -> DataFrame:
     """Measures as rows and sites as columns.
 
-    Without ``headings`` the site names are read first: one short text per site.
+    Without ``headings`` the site names are read first, one short text per site; more
+    than fit as columns are an error.
     """
     long = effort_text(effort)
     if headings is None:
-        headings = sorted(r[0] for r in long.select("sitio").distinct().collect())
+        found = long.select("sitio").distinct().limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} sites; use effort_text() instead")
+        headings = sorted(r[0] for r in found)
     return pivot_first(long, ["ord", "grupo"], "sitio", headings, "n").orderBy("ord")

@@ -25,6 +25,7 @@ def positivity_table(
     by: Sequence[str] = (),
     site: str | Sequence[str] = "all",
     condition: Column | str | None = None,
+    check_site: bool = False,
 ) -> DataFrame:
     """Long positivity table, complete over the three periods and all labelled codes.
 
@@ -34,7 +35,7 @@ def positivity_table(
     so no case row is ever repeated per period or etiology.
     """
     require_flags(cases, list(labels))
-    cases = at_sites(cases, site)
+    cases = at_sites(cases, site, check=check_site)
     if condition is not None:
         cases = cases.where(condition)
     counts = {code: (F.count(code), F.count_if(F.col(code))) for code in labels}

@@ -105,7 +105,11 @@ def rolling_error(points: DataFrame, series: Sequence[str], n: int, *, sigma: fl
     count = F.nullif(F.count(known).over(window), F.lit(0))
     half = sigma * F.sqrt(F.sum(squares).over(window)) / count
     mean = F.avg(known).over(window)
-    return points.withColumns({"rolled": mean, "low": mean - half, "high": mean + half})
+    lines = {"rolled": mean, "low": mean - half, "high": mean + half}
+    if n == 1:
+        # Nothing is averaged, so a NaN stays a NaN.
+        lines = {name: F.coalesce(line, F.col(y)) for name, line in lines.items()}
+    return points.withColumns(lines)
 
 
 def series_overview(points: DataFrame, y: str = "y") -> DataFrame:
@@ -114,6 +118,11 @@ def series_overview(points: DataFrame, y: str = "y") -> DataFrame:
     return points.groupBy("t").agg(F.avg(valid(F.col(y))).alias("y"))
 
 
+def overview_on_log_scale(overview: DataFrame) -> DataFrame:
+    """The overview's values as powers of ten; values without one become NULL."""
+    return overview.withColumn("y", F.log10("y"))
+
+
 def overview_limits(overview: DataFrame, log_scale: bool = False) -> DataFrame:
     """Axis range of an overview, padded by a quarter; on a log scale only upwards."""
     y = F.col("y")

@@ -320,6 +320,8 @@ select site_name, ord, label as etiologia,
   max(cell) filter (where "group" = 'all_time') as all_time
 from cells group by all"""
 
+ORACLES["report_roundtrip"] = ORACLES["positivity_by_site"]
+
 # --- corridor --------------------------------------------------------------------------
 
 COUNTS = """counts as (select site_name, epi_year, epi_week, count(*) as casos
@@ -598,6 +600,8 @@ select event_type, t, round((y)::decimal(30, 12), 6)::double as y, round((error)
   round((m - h)::decimal(30, 12), 6)::double as low, round((m + h)::decimal(30, 12), 6)::double as high from sums"""
 OVERVIEW = f"{GAPS}, overview as (select t, avg(y) as y from points group by t)"
 ORACLES["series_overview"] = f"with {OVERVIEW} select t, round((y)::decimal(30, 12), 6)::double as y from overview"
+ORACLES["series_overview_log"] = f"""with {OVERVIEW}
+select t, round((log10(y))::decimal(30, 12), 6)::double as y from overview"""
 ORACLES["overview_limits"] = f"""with {OVERVIEW}, b as (select min(y) as lo, max(y) as hi
   from overview)
 select round((lo - 0.25 * case when hi > lo then hi - lo else hi end)::decimal(30, 12), 6)::double as y_min,

@@ -301,6 +301,15 @@ def period_counts_from_cube(spark, sf):
     return cube.cube_period_counts(daily_cube(spark, sf), FLAGS, "quarter")
 
 
+@query
+def report_roundtrip(spark, sf):
+    """A report table written as JSON lines and read back."""
+    table = positivity_by_site(spark, sf)
+    path = snapshots.new_folder(spark, "report")
+    snapshots.write_report(table, path, "json")
+    return spark.read.schema(table.schema).json(path)
+
+
 # --- corridor --------------------------------------------------------------------------
 
 def _counts(spark, sf, by=SITE) -> DataFrame:
@@ -561,6 +570,12 @@ def series_overview(spark, sf):
     return rounded(series.series_overview(_with_gaps(spark, sf)), "y")
 
 
+@query
+def series_overview_log(spark, sf):
+    overview = series.series_overview(_with_gaps(spark, sf))
+    return rounded(series.overview_on_log_scale(overview), "y")
+
+
 @query
 def overview_limits(spark, sf):
     overview = series.series_overview(_with_gaps(spark, sf))

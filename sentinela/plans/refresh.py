@@ -18,7 +18,7 @@ from sentinela.operators import (
 )
 from sentinela.plans import tables
 from sentinela.sources import views
-from sentinela.sources.snapshots import Snapshots
+from sentinela.sources.snapshots import Snapshots, write_report
 from sentinela.syndromes import Syndrome
 
 Builder = Callable[[], DataFrame]
@@ -180,6 +180,21 @@ def _cube_tables(syndrome: Syndrome, done: Mapping[str, DataFrame], dates: Repor
     }
 
 
+# What readers of a report see; the other stored tables only lead up to these.
+REPORT_TABLES = (
+    "positivity", "corridor_current", "corridor_range", "corridor_polygons", "map_points",
+    "map_labels", "monthly", "axis",
+)
+
+
+def export_reports(stored: Mapping[str, DataFrame], folder: str, file_format: str) -> None:
+    """Copies of the report tables in another format."""
+    names = ["map_bounds", "screening_effort_text", *[
+        f"{s}_{table}" for s in syndromes.SYNDROMES for table in REPORT_TABLES]]
+    for name in names:
+        write_report(stored[name], f"{folder}/{name}", file_format)
+
+
 def stored_positivity(stored: Mapping[str, DataFrame]) -> DataFrame:
     """The positivity tables of all syndromes of a refresh, one below the other."""
     parts = []

@@ -15,8 +15,29 @@ SETTINGS = {
 }
 
 
-def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Add the settings to a session builder."""
-    for name, value in SETTINGS.items():
+# Bytes one shuffle task should hold, and the share of the input a wide shuffle moves
+# once columns are pruned and duplicates dropped. Used to size partitions for large inputs.
+TASK_BYTES = 512 * 1024 ** 2
+SHUFFLED_SHARE = 0.25
+
+
+def size_settings(input_bytes: int) -> dict[str, str]:
+    """Partition settings for an input of the given size.
+
+    Only the starting number of shuffle partitions grows with the input: adaptive
+    execution merges what turns out small, but it cannot split an ordinary shuffle.
+    """
+    partitions = max(200, round(input_bytes * SHUFFLED_SHARE / TASK_BYTES))
+    return {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.files.maxPartitionBytes": "512m" if input_bytes > 1024 ** 4 else "128m",
+    }
+
+
+def tune(builder: SparkSession.Builder, input_bytes: int | None = None) -> SparkSession.Builder:
+    """Add the settings to a session builder; ``input_bytes`` also sizes the partitions."""
+    sized = {} if input_bytes is None else size_settings(input_bytes)
+    for name, value in (SETTINGS | sized).items():
         builder = builder.config(name, value)
     return builder

@@ -18,6 +18,7 @@ def make_session():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="sentinela-warehouse-"))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sentinela-tests-"))
         .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry_module
 from sentinela.plans import queries, tables
+from sentinela.session import size_settings
 
 SF = "/root/testdata/sf0.001"
 # The refresh writes files; its parts are checked one by one.
-LAZY = sorted(set(entry_module.queries()) - {"weekly_refresh", "snapshot_roundtrip"})
+LAZY = sorted(set(entry_module.queries()) - {"weekly_refresh", "snapshot_roundtrip", "report_roundtrip"})
 
 
 def plan_of(df):
@@ -74,6 +75,12 @@ def test_series_windows_only_see_aggregated_points(spark):
         assert plan.rindex("Exchange hashpartitioning") < plan.rindex("partial_")
 
 
+def test_partitions_grow_with_the_input():
+    small, large = size_settings(10 ** 9), size_settings(100 * 10 ** 12)
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert small[name] == "200" and 40_000 < int(large[name]) < 60_000
+
+
 @pytest.mark.parametrize("partitions", ["1", "3", "17"])
 def test_partition_count_does_not_change_results(spark, partitions):
     names = ["first_seen_cases", "corridor_polygons", "screening_effort_counts", "stacked_series"]

@@ -61,7 +61,7 @@ def test_missing_ids_form_one_group(spark):
 def test_line_list_columns_and_ages(spark):
     row = line_list(spark, [raw_row("a", 1, kind=None)]).first().asDict()
     assert list(row)[:16] == case_ops.CASE_COLUMNS
-    assert list(row)[16:] == ["pneumococcus", "flu", "rsv", "hmpv", "not_tested", "none"]
+    assert list(row)[16:] == ["pneumococcus", "flu", "rsv", "hmpv", "none", "not_tested"]
     assert row["site_type"] is None
     assert row["age_aprox"] == 730 and row["age_dates"] == 731
     assert row["service_date"] == D(2018, 5, 2)

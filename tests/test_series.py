@@ -105,6 +105,14 @@ def test_rolling_error(spark):
     assert got[3] == (5.0, 1.0, 9.0)
 
 
+def test_rolling_error_of_one_keeps_nan(spark):
+    rows = [("x", DAYS[0], float("nan"), 1.0), ("x", DAYS[1], None, 1.0), ("x", DAYS[2], 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "s string, t date, y double, error double")
+    got = by_series(ops.rolling_error(df, ["s"], 1), "rolled", "low", "high")["x"]
+    assert all(math.isnan(v) for v in got[0])
+    assert got[1:] == [(None, None, None), (4.0, 2.0, 6.0)]
+
+
 def test_overview_and_limits(spark):
     overview = ops.series_overview(points(spark))
     got = {r["t"]: r["y"] for r in overview.collect()}
@@ -116,6 +124,8 @@ def test_overview_and_limits(spark):
         (lo - 0.25 * (hi - lo), hi + 0.25 * (hi - lo)))
     assert tuple(ops.overview_limits(overview, log_scale=True).first()) == pytest.approx(
         (math.log10(lo), 1.25 * math.log10(hi)))
+    logs = {r["t"]: r["y"] for r in ops.overview_on_log_scale(overview).collect()}
+    assert logs == {t: pytest.approx(math.log10(y)) for t, y in got.items()}
     flat = spark.createDataFrame([(DAYS[0], 4.0), (DAYS[1], 4.0)], "t date, y double")
     assert tuple(ops.overview_limits(flat).first()) == (3.0, 5.0)
 

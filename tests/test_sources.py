@@ -8,7 +8,9 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from sentinela.plans import refresh, tables
+from oracle_check import as_rows, database
+from sentinela.plans import refresh, tables, weekly
+from sentinela.plans.oracles import ORACLES
 from sentinela.sources import snapshots, views
 
 D = dt.date
@@ -149,3 +151,54 @@ def test_refresh_resumes_without_reading_the_sources(spark, folder):
     again = refresh.run_refresh(spark, gone, folder, tables.DATES, refresh.TEST_SETTINGS)
     assert {name: t.count() for name, t in again.items()} == sizes
     assert {n: os.path.getmtime(f"{week}/{n}/_SUCCESS") for n in before} == before
+
+
+def catalog_views(spark, sf):
+    """The views under their catalog names with all listed columns, unused ones empty."""
+    wanted = views.group_columns("inscrito")
+    subject = {c: tables.EFFORT[c] for c in ("NombreDepartamento", "NombreMunicipio", "catchment")}
+    contents = {"Clinicos.Basica_Respira": tables.RESPIRATORY | subject | {
+                    "inscrito": tables.EFFORT["pacienteInscrito"]},
+                "Clinicos.Basica_Diarrea": tables.DIARRHEAL,
+                "Clinicos.Basica_Febril": tables.FEBRILE}
+    for schema in ("Clinicos", "Control", "LegalValue"):
+        spark.sql(f"create database if not exists {schema}")
+    for name, columns in contents.items():
+        needed = [c for group, view in views.GROUP_VIEWS.items() if view == name for c in wanted[group]]
+        needed += [c for view, listed in views.SYNDROME_VIEWS.values() if view == name
+                   for c in listed or []]
+        df = tables.raw_view(spark, sf, columns)
+        present = {c.lower() for c in df.columns}
+        missing = dict.fromkeys(c for c in needed if c.lower() not in present)
+        df = df.withColumns({c: F.lit(None).cast("int") for c in missing})
+        df.write.mode("overwrite").saveAsTable(name)
+    sites = spark.createDataFrame([("x",) * len(views.SITE_COLUMNS)], views.SITE_COLUMNS)
+    sites.write.mode("overwrite").saveAsTable(views.GROUP_VIEWS["sites"])
+    tables.location_codes(spark, sf).write.mode("overwrite").saveAsTable(views.LOCATION_VIEW)
+
+def test_refresh_of_catalog_views(spark, folder):
+    """The listed columns of every view, found by name, give the checked positivity."""
+    sf = "/root/testdata/sf0.001"
+    catalog_views(spark, sf)
+    sources = refresh.default_sources(
+        tables.communities(spark, sf), tables.department_outlines(spark, sf))
+    settings = refresh.Settings(
+        sites=tuple(tables.SITES), soft_catchment=tables.SOFT_CATCHMENT, consent="inscrito",
+        previous_years=tables.PREVIOUS_YEARS)
+    stored = refresh.run_refresh(spark, sources, folder, tables.DATES, settings)
+    assert set(stored["group_subject"].columns) == set(views.group_columns("inscrito")["subject"])
+    assert set(stored["view_diarrheal"].columns) == set(views.SYNDROME_VIEWS["diarrheal"][1])
+    positivity = refresh.stored_positivity(stored)
+    found = as_rows(positivity.columns, positivity.collect())
+    result = database(sf).execute(ORACLES["weekly_refresh"])
+    assert found == as_rows([d[0] for d in result.description], result.fetchall())
+
+    refresh.export_reports(stored, f"{folder}/export", "csv")
+    back = spark.read.option("header", True).csv(f"{folder}/export/febrile_corridor_current")
+    assert back.count() == 52 * len(tables.SITES)
+
+
+def test_command_line():
+    options = weekly.arguments([
+        "--run-date", "2018-06-17", "--root", "r", "--communities", "a/c", "--departments", "a/d"])
+    assert options.run_date == D(2018, 6, 17) and options.consent == "pacienteInscrito"
