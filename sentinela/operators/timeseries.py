@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentinela.functions.calendar import floor_date
 from sentinela.functions.scalars import recode
-from sentinela.operators.reshape import require_flags, unpivot_records
+from sentinela.operators.reshape import pivot_first, require_flags, unpivot_records
 from sentinela.syndromes import SITE_NAMES
 
 
@@ -52,23 +52,17 @@ def case_timeseries(
     """One row per period and one column per site; NULL where a site had no case at all.
 
     ``sites`` gives the column order; without it the site names of the type are read
-    first, the recoded ones in front. A single aggregate on the period: rows of the same
-    period are combined in each task before they are shuffled.
+    first, the recoded ones in front. A case row only adds to its own site's count; sites
+    become columns afterwards, from one row per site and period.
     """
-    require_flags(cases, [etiology])
+    cases = cases.where(F.col("site_type") == site_type)
     if sites is None:
-        sites = _site_order(cases.where(F.col("site_type") == site_type), site_names)
-    columns = []
-    for site in sites:
-        here = F.col("site_name") == site
-        columns.append(
-            F.when(F.count_if(here) > 0, F.count_if(here & F.col(etiology)))
-            .alias(site_names.get(site, site)))
-    return (
-        cases.where((F.col("site_type") == site_type) & F.col("site_name").isin(*sites))
-        .groupBy(floor_date(F.col("service_date"), scale).alias("service_date"))
-        .agg(*columns)
-        .orderBy(F.col("service_date").asc_nulls_last()))
+        sites = _site_order(cases, site_names)
+    counts = period_counts(
+        cases.where(F.col("site_name").isin(*sites)), [etiology], scale, ("site_name",))
+    wide = pivot_first(counts, ["service_date"], "site_name", sites, etiology)
+    return (wide.toDF("service_date", *[site_names.get(s, s) for s in sites])
+            .orderBy(F.col("service_date").asc_nulls_last()))
 
 
 def series_long(cases: DataFrame, *, site_type: str, etiology: str, scale: str = "month",

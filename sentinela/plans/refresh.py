@@ -17,6 +17,7 @@ from sentinela.operators import (
     cases as case_ops, corridor, cube, effort, maps, positivity, timeseries,
 )
 from sentinela.plans import tables
+from sentinela.session import at_most_partitions
 from sentinela.sources import views
 from sentinela.sources.snapshots import Snapshots, write_report
 from sentinela.syndromes import Syndrome
@@ -39,6 +40,7 @@ class Settings:
         default_factory=lambda: {s: columns for s, (_, columns) in views.SYNDROME_VIEWS.items()})
     order_by: tuple[str, ...] = case_ops.FIRST_SEEN_ORDER
     epoch_dates: bool = False
+    summary_partitions: int = 200
 
 
 @dataclass(frozen=True)
@@ -94,19 +96,21 @@ def run_refresh(spark: SparkSession, sources: Sources, root: str, dates: ReportD
     }
     for pack in packs:
         builders[f"{pack.name}_cases"] = partial(
-            case_ops.syndrome_cases, done[f"view_{pack.name}"], pack, dates,
-            settings.sites, settings.order_by)
+            _line_list, done[f"view_{pack.name}"], pack, dates, settings)
     phase(builders)
 
-    builders = {"screening_effort_text": lambda: effort.effort_text(done["screening_effort"])}
-    for pack in packs:
-        builders |= _case_tables(pack, done, locations, communities, dates, settings)
-    phase(builders)
-
-    builders = {}
-    for pack in packs:
-        builders |= _cube_tables(pack, done, dates, settings)
-    phase(builders)
+    # From here on only counts and recent cases are shuffled.
+    with at_most_partitions(spark, settings.summary_partitions):
+        builders = {
+            "screening_effort_text": lambda: effort.effort_text(done["screening_effort"])}
+        for pack in packs:
+            builders |= _case_tables(pack, done, locations, communities, dates, settings)
+        phase(builders)
+
+        builders = {}
+        for pack in packs:
+            builders |= _cube_tables(pack, done, dates, settings)
+        phase(builders)
     return done
 
 
@@ -132,6 +136,16 @@ def _dated(subjects: DataFrame, settings: Settings) -> DataFrame:
     return subjects.withColumns({c: from_epoch(F.col(c)) for c in dates})
 
 
+def _line_list(raw: DataFrame, syndrome: Syndrome, dates: ReportDates,
+               settings: Settings) -> DataFrame:
+    """The line list as stored: sorted by date within each file, without a shuffle.
+
+    Readers of a date range then skip most row groups by their statistics.
+    """
+    cases = case_ops.syndrome_cases(raw, syndrome, dates, settings.sites, settings.order_by)
+    return cases.sortWithinPartitions("service_date")
+
+
 def _grouping(syndrome: Syndrome) -> list[str]:
     return ["site_name", "disposition"] if syndrome.has_disposition else ["site_name"]
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,24 +20,44 @@ SETTINGS = {
 
 # Bytes one shuffle task should hold, and the share of the input a wide shuffle moves
 # once columns are pruned and duplicates dropped. Used to size partitions for large inputs.
-TASK_BYTES = 512 * 1024 ** 2
+TASK_BYTES = 1024 ** 3
 SHUFFLED_SHARE = 0.25
+PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
 def size_settings(input_bytes: int) -> dict[str, str]:
     """Partition settings for an input of the given size.
 
-    Only the starting number of shuffle partitions grows with the input: adaptive
-    execution merges what turns out small, but it cannot split an ordinary shuffle.
+    The starting number of shuffle partitions grows with the input: adaptive execution
+    merges what turns out small, but it cannot split an ordinary shuffle.
     """
     partitions = max(200, round(input_bytes * SHUFFLED_SHARE / TASK_BYTES))
     return {
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        PARTITIONS: str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-        "spark.sql.files.maxPartitionBytes": "512m" if input_bytes > 1024 ** 4 else "128m",
+        "spark.sql.files.maxPartitionBytes": "256m" if input_bytes > 1024 ** 4 else "128m",
     }
 
 
+@contextmanager
+def at_most_partitions(spark: SparkSession, most: int) -> Iterator[None]:
+    """Start shuffles with at most this many partitions, for jobs that shuffle only counts.
+
+    Every map task writes an entry per partition, which for thousands of partitions and
+    a few counts is more than the counts themselves.
+    """
+    before = spark.conf.get(PARTITIONS, None)
+    now = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(PARTITIONS, str(min(now, most)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PARTITIONS)
+        else:
+            spark.conf.set(PARTITIONS, before)
+
+
 def tune(builder: SparkSession.Builder, input_bytes: int | None = None) -> SparkSession.Builder:
     """Add the settings to a session builder; ``input_bytes`` also sizes the partitions."""
     sized = {} if input_bytes is None else size_settings(input_bytes)

@@ -17,6 +17,7 @@ def make_session():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")    # whole filters in plan texts
         .config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="sentinela-warehouse-"))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sentinela-tests-"))

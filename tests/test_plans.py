@@ -1,10 +1,13 @@
 """What the physical plans may and may not contain, whatever the data size."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from sentinela.functions.calendar import from_epoch
+from sentinela.operators import effort, maps
 from sentinela.plans import queries, tables
-from sentinela.session import size_settings
+from sentinela.session import PARTITIONS, at_most_partitions, size_settings
 
 SF = "/root/testdata/sf0.001"
 # The refresh writes files; its parts are checked one by one.
@@ -48,6 +51,21 @@ def test_bound_and_columns_reach_the_scan(spark):
     assert "o_totalprice" not in plan
 
 
+def test_report_dates_reach_the_scan_of_stored_tables(spark, tmp_path):
+    rows = tables.effort_rows(spark, SF).withColumn(
+        "PDAInsertDate", from_epoch(F.col("PDAInsertEpoch"))).drop("PDAInsertEpoch")
+    rows.write.parquet(str(tmp_path / "effort"))
+    stored = spark.read.parquet(str(tmp_path / "effort"))
+    plan = plan_of(effort.screening_effort(
+        stored, stored, tables.DATES, sites=tables.SITES, soft_catchment=tables.SOFT_CATCHMENT))
+    assert "GreaterThanOrEqual(PDAInsertDate,2000-07-23" in plan
+    tables.cases(spark, SF).write.parquet(str(tmp_path / "cases"))
+    points = maps.case_map_points(
+        spark.read.parquet(str(tmp_path / "cases")), queries.location_codes(spark, SF),
+        tables.communities(spark, SF), tables.ETIOLOGIES, tables.DATES, department="Santa Rosa")
+    assert "GreaterThanOrEqual(service_date,2000-07-27)" in plan_of(points)
+
+
 def test_counts_read_only_their_columns(spark):
     plan = plan_of(queries.weekly_counts(spark, SF))
     assert "o_totalprice" not in plan and "o_orderpriority" not in plan
@@ -75,10 +93,19 @@ def test_series_windows_only_see_aggregated_points(spark):
         assert plan.rindex("Exchange hashpartitioning") < plan.rindex("partial_")
 
 
-def test_partitions_grow_with_the_input():
+def test_partitions_grow_with_the_input(spark):
     small, large = size_settings(10 ** 9), size_settings(100 * 10 ** 12)
-    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert small[name] == "200" and 40_000 < int(large[name]) < 60_000
+    assert small[PARTITIONS] == "200" and 20_000 < int(large[PARTITIONS]) < 30_000
+    with at_most_partitions(spark, 3):
+        assert spark.conf.get(PARTITIONS) == "3"
+    assert spark.conf.get(PARTITIONS, None) is None
+    spark.conf.set(PARTITIONS, "5")
+    try:
+        with at_most_partitions(spark, 300):
+            assert spark.conf.get(PARTITIONS) == "5"
+        assert spark.conf.get(PARTITIONS) == "5"
+    finally:
+        spark.conf.unset(PARTITIONS)
 
 
 @pytest.mark.parametrize("partitions", ["1", "3", "17"])
