@@ -14,7 +14,7 @@ from sentinela.functions import results, scalars
 from sentinela.operators import (
     cases as case_ops, corridor, cube, curve, effort, maps, positivity, reshape, series, timeseries,
 )
-from sentinela.plans import refresh, tables
+from sentinela.plans import refresh, sample, tables
 from sentinela.plans.tables import DATES, ETIOLOGIES, PREVIOUS_YEARS
 from sentinela.sources import snapshots, views
 
@@ -82,8 +82,8 @@ def snapshot_roundtrip(spark, sf):
 def weekly_refresh(spark, sf):
     """A whole weekly refresh into a new folder, and its stored positivity tables."""
     stored = refresh.run_refresh(
-        spark, refresh.sample_sources(spark, sf), snapshots.new_folder(spark, "refresh"),
-        DATES, refresh.TEST_SETTINGS)
+        spark, sample.sample_sources(spark, sf), snapshots.new_folder(spark, "refresh"),
+        DATES, sample.SETTINGS)
     return refresh.stored_positivity(stored)
 
 

@@ -16,7 +16,6 @@ from sentinela.functions.results import disposition
 from sentinela.operators import (
     cases as case_ops, corridor, cube, effort, maps, positivity, timeseries,
 )
-from sentinela.plans import tables
 from sentinela.session import at_most_partitions
 from sentinela.sources import views
 from sentinela.sources.snapshots import Snapshots, write_report
@@ -218,46 +217,3 @@ def stored_positivity(stored: Mapping[str, DataFrame]) -> DataFrame:
             table = table.withColumn("disposition", F.lit("all"))
         parts.append(table.withColumn("syndrome", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
-
-
-# --- the refresh on the test tables ------------------------------------------------------
-
-TEST_SETTINGS = Settings(
-    sites=tuple(tables.SITES),
-    soft_catchment=tables.SOFT_CATCHMENT,
-    previous_years=tables.PREVIOUS_YEARS,
-    group_columns={
-        "sites": ["n_nationkey", "n_name"],
-        "subject": ["SubjectID", "SASubjectID", "PDAInsertDate", "SiteName", "catchment",
-                    "NombreDepartamento", "NombreMunicipio", "pacienteInscrito"],
-        "eligibility": views.ELIGIBILITY_COLUMNS,
-        "respiratory": views.RESPIRATORY_COLUMNS,
-        "diarrheal": ["SubjectID", "rotavirus"],
-        "febrile": [c for c in views.FEBRILE_COLUMNS if c in {"SubjectID", *tables.FEBRILE}],
-    },
-    syndrome_columns={"respiratory": None, "diarrheal": None, "febrile": None},
-    order_by=("PDAInsertDate", "SASubjectID"),
-)
-
-
-def sample_sources(spark: SparkSession, sf_dir: str) -> Sources:
-    """The test tables in the place of the views."""
-    effort_rows = tables.effort_rows(spark, sf_dir)
-    raw = {
-        "respiratory": tables.raw_view(spark, sf_dir, tables.RESPIRATORY),
-        "diarrheal": tables.raw_view(spark, sf_dir, tables.DIARRHEAL),
-        "febrile": tables.raw_view(spark, sf_dir, tables.FEBRILE),
-    }
-    return Sources(
-        groups={
-            "sites": tables.read(spark, sf_dir, "nation"),
-            "subject": effort_rows.withColumn(
-                "PDAInsertDate", from_epoch(F.col("PDAInsertEpoch"))),
-            "eligibility": effort_rows.where("has_eligibility"),
-            **raw,
-        },
-        syndromes=raw,
-        locations=tables.location_codes(spark, sf_dir),
-        communities=tables.communities(spark, sf_dir),
-        departments=tables.department_outlines(spark, sf_dir),
-    )

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle_check import as_rows, database
-from sentinela.plans import refresh, tables, weekly
+from sentinela.plans import refresh, sample, tables, weekly
 from sentinela.plans.oracles import ORACLES
 from sentinela.sources import snapshots, views
 
@@ -132,8 +132,8 @@ def test_report_formats(spark, folder, file_format):
 
 def test_refresh_resumes_without_reading_the_sources(spark, folder):
     sf = "/root/testdata/sf0.001"
-    sources = refresh.sample_sources(spark, sf)
-    first = refresh.run_refresh(spark, sources, folder, tables.DATES, refresh.TEST_SETTINGS)
+    sources = sample.sample_sources(spark, sf)
+    first = refresh.run_refresh(spark, sources, folder, tables.DATES, sample.SETTINGS)
     sizes = {name: t.count() for name, t in first.items()}
     assert sizes["respiratory_corridor_current"] == 52 * len(tables.SITES)
     assert sizes["screening_effort_text"] == 5 * sizes["screening_effort"]
@@ -148,7 +148,7 @@ def test_refresh_resumes_without_reading_the_sources(spark, folder):
         syndromes={s: "no_such_table" for s in sources.syndromes},
         locations="no_such_table", communities=sources.communities,
         departments="no_such_table")
-    again = refresh.run_refresh(spark, gone, folder, tables.DATES, refresh.TEST_SETTINGS)
+    again = refresh.run_refresh(spark, gone, folder, tables.DATES, sample.SETTINGS)
     assert {name: t.count() for name, t in again.items()} == sizes
     assert {n: os.path.getmtime(f"{week}/{n}/_SUCCESS") for n in before} == before
 
