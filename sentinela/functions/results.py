@@ -26,7 +26,9 @@ def has_result(*names: str, except_codes: tuple[str, ...] = ()) -> Column:
     """At least one of the columns holds a value other than the given "no result" codes."""
     def known(name: str) -> Column:
         filled = F.col(name).isNotNull()
-        return filled & ~F.col(name).isin(*except_codes) if except_codes else filled
+        if not except_codes:
+            return filled
+        return filled & ~F.col(name).cast("string").isin(*except_codes)
 
     return any_of(known(n) for n in names)
 
@@ -34,9 +36,13 @@ def has_result(*names: str, except_codes: tuple[str, ...] = ()) -> Column:
 def any_equals(value, *names: str) -> Column:
     """Any of the columns equals the value; "unknown or false" stays unknown.
 
-    Pass a string for text columns: comparing text with a number raises in ANSI mode.
+    Pass a string for columns with text codes: comparing those with a number raises in
+    ANSI mode. A string is compared as text whatever the column's type.
     """
-    return any_of(F.col(n) == F.lit(value) for n in names)
+    def compared(name: str) -> Column:
+        return F.col(name).cast("string") if isinstance(value, str) else F.col(name)
+
+    return any_of(compared(n) == F.lit(value) for n in names)
 
 
 def decode(applies: Column, positive: Column) -> Column:

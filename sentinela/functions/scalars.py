@@ -66,7 +66,8 @@ def site_heading(department: Column, site: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    return F.initcap(text)
+    """Capital letter at the start of every word, also after a hyphen."""
+    return F.array_join(F.transform(F.split(text, "-"), F.initcap), "-")
 
 
 def hex_text(raw: Column) -> Column:

@@ -1,0 +1,2 @@
+"""Empty on purpose: every source in scope is a one-shot read, and late results are
+absorbed by rebuilding the dated snapshot of a week. No operator here is a stream."""

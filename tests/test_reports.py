@@ -2,7 +2,9 @@
 
 import datetime as dt
 import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +238,32 @@ def test_quantiles_are_ordered_and_counts_roll_up(spark):
         assert r["min"] <= r["q1"] <= r["q2"] <= r["q3"] <= r["max"]
 
 
+def test_quantiles_equal_linear_interpolation(spark):
+    draw = random.Random(5)
+    counts = {("A", year, week): draw.randint(1, 9)
+              for year in range(2011, 2018) for week in range(1, 54) if draw.random() < 0.7}
+    rows = corridor.history_quantiles(
+        corridor.weekly_counts(weekly(spark, counts)), 2018, 7).collect()
+    assert len(rows) == len({week for _, _, week in counts})
+    for r in rows:
+        seen = [n for (_, _, week), n in counts.items() if week == r["epi_week"]]
+        assert [r[c] for c in ("min", "q1", "q2", "q3", "max")] == pytest.approx(
+            list(np.percentile(seen, [0, 25, 50, 75, 100])))
+
+
+def test_deduplication_against_a_loop(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice([None, None, None, *"abcdefgh"]), draw.choice([None, 1, 2, 3]), i,
+             draw.random() < 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, day int, id int, good boolean").repartition(7)
+    got = {r["id"] for r in case_ops.keep_first_seen(
+        df, ["k"], ["day", "id"], also=F.col("good")).collect()}
+    first = {}
+    for row in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        first.setdefault(row[0], row)
+    assert got == {r[2] for r in first.values() if r[3]}
+
+
 def test_etiologies_are_combined_with_and(spark):
     both = corridor.endemic_corridor(weekly(spark, COUNTS), DATES, etiologies=["flu", "rsv"])
     assert both.current.where("epi_week = 3").first()["casos"] == 3
@@ -452,3 +480,15 @@ def test_recodes(spark):
     assert ask(df.select(scalars.lookup(c, names), scalars.recode(c, names),
                          scalars.rank_in(c, ["QU", "SR"]))) == [
         ("Santa Rosa", "Santa Rosa", 2), (None, "ZZ", None), (None, None, None)]
+
+
+def test_title_case(spark):
+    df = spark.createDataFrame([("SAN josé-EL ÁNGEL",), (None,)], "t string")
+    assert ask(df.select(scalars.title_case(F.col("t")))) == [("San José-El Ángel",), (None,)]
+
+
+def test_ages(spark):
+    df = spark.createDataFrame([(1, None, None), (1, -2, 40), (0, 3, -1), (None, 1, 1)],
+                               "y int, m int, d int")
+    age = scalars.approximate_age_days(F.col("y"), F.col("m"), F.col("d"))
+    assert [r[0] for r in df.select(age).collect()] == [365, 405, 90, None]

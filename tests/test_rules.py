@@ -185,3 +185,12 @@ def test_dispositions_split_all_cases(spark, admitted, emergency):
     assert row["emg"] == both(emergency, no(admitted))
     assert row["d"] == ("emergency" if row["emg"] else "admitted")
     assert (row["d"] == "admitted") == (row["adm"] is True)
+
+
+def test_text_codes_may_be_stored_as_numbers(spark):
+    """A view whose codes happen to be all numeric is read the same way."""
+    from sentinela.functions.results import any_equals, decode, has_result
+
+    df = spark.createDataFrame([(1,), (0,), (80,), (None,)], "code int")
+    rule = decode(has_result("code", except_codes=("NE", "80")), any_equals("1", "code"))
+    assert [r[0] for r in df.select(rule).collect()] == [True, False, None, None]
