@@ -17,7 +17,7 @@ from sentinela.functions.calendar import ReportDates
 from sentinela.functions.results import all_of
 from sentinela.functions.scalars import clamp
 from sentinela.operators.cases import at_sites
-from sentinela.operators.reshape import require_flags, unpivot_records
+from sentinela.operators.reshape import require_flags, unpivot_records, with_groups
 
 # Corridor zones, from the highest band to the lowest.
 ZONES = ["Brote", "Alerta", "Seguridad", "Éxito"]
@@ -49,13 +49,18 @@ def _rolled_up(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.groupBy(*by, "epi_year", "epi_week").agg(F.sum("casos").alias("casos"))
 
 
-def corridor_current(counts: DataFrame, year: int, by: Sequence[str] = ()) -> DataFrame:
-    """This year's line over weeks 1 to 52 (or the last seen week), NULL without cases."""
+def corridor_current(counts: DataFrame, year: int, by: Sequence[str] = (),
+                     groups: Sequence[tuple] | None = None) -> DataFrame:
+    """This year's line over weeks 1 to 52 (or the last seen week), NULL without cases.
+
+    ``groups`` lists values of ``by`` that get 52 empty weeks if they have no case at all.
+    """
     this_year = F.col("epi_year") == year
-    groups = _rolled_up(counts, by).groupBy(*by).agg(
+    rows = with_groups(_rolled_up(counts, by), by, groups)
+    lines = rows.groupBy(*by).agg(
         F.greatest(F.lit(52), F.max(F.when(this_year, F.col("epi_week")))).alias("last_week"),
         _week_map(F.when(this_year, F.col("casos"))).alias("by_week"))
-    return (groups
+    return (lines
             .select(*by, "by_week", F.explode(F.sequence(F.lit(1), "last_week")).alias("epi_week"))
             .select(*by, "epi_week", F.try_element_at("by_week", F.col("epi_week")).alias("casos")))
 
@@ -133,11 +138,12 @@ class Corridor:
 
 
 def corridor_from_counts(counts: DataFrame, dates: ReportDates, previous_years: int,
-                         ylim: float, by: Sequence[str] = ()) -> Corridor:
+                         ylim: float, by: Sequence[str] = (),
+                         groups: Sequence[tuple] | None = None) -> Corridor:
     """Corridor tables from weekly counts; pass a stored count table to scan cases once."""
     quantiles = history_quantiles(counts, dates.year, previous_years, by)
     return Corridor(
-        current=corridor_current(counts, dates.year, by),
+        current=corridor_current(counts, dates.year, by, groups),
         range=corridor_range(quantiles, by),
         polygons=corridor_polygons(quantiles, ylim, by))
 
@@ -152,7 +158,9 @@ def endemic_corridor(
     previous_years: int = 7,
     ylim: float = 100,
     check_site: bool = False,
+    groups: Sequence[tuple] | None = None,
 ) -> Corridor:
     """Corridor tables straight from a case line list."""
     cases = positive_for_all(at_sites(cases, site, check=check_site), etiologies)
-    return corridor_from_counts(weekly_counts(cases, by), dates, previous_years, ylim, by)
+    return corridor_from_counts(
+        weekly_counts(cases, by), dates, previous_years, ylim, by, groups)

@@ -11,7 +11,7 @@ from sentinela.functions.calendar import ReportDates
 from sentinela.functions.scalars import percent, positives_cell
 from sentinela.operators.cases import at_sites
 from sentinela.operators.reshape import (
-    ordered_codes, pivot_first, require_flags, unpivot_records,
+    ordered_codes, pivot_first, require_flags, unpivot_records, with_groups,
 )
 
 PERIODS = ["this_month", "last_month", "all_time"]
@@ -26,10 +26,12 @@ def positivity_table(
     site: str | Sequence[str] = "all",
     condition: Column | str | None = None,
     check_site: bool = False,
+    groups: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """Long positivity table, complete over the three periods and all labelled codes.
 
-    ``by`` computes all sites in one job. The cases are only counted per group and
+    ``by`` computes all sites in one job; ``groups`` lists values of ``by`` that get a
+    table of zeros if they have no case. The cases are only counted per group and
     combination of periods they fall into (at most four): two counts per etiology, kept
     small by map-side aggregation. Overlapping periods are added up from those few rows,
     so no case row is ever repeated per period or etiology.
@@ -39,18 +41,19 @@ def positivity_table(
     if condition is not None:
         cases = cases.where(condition)
     counts = {code: (F.count(code), F.count_if(F.col(code))) for code in labels}
-    return _table(cases, labels, dates, by, counts)
+    return _table(cases, labels, dates, by, groups, counts)
 
 
 def positivity_from_cube(cube: DataFrame, labels: Mapping[str, str], dates: ReportDates, *,
-                         by: Sequence[str] = ()) -> DataFrame:
+                         by: Sequence[str] = (),
+                         groups: Sequence[tuple] | None = None) -> DataFrame:
     """The same table from a daily cube of the cases."""
     counts = {code: (F.sum(f"{code}_tested"), F.sum(f"{code}_positive")) for code in labels}
-    return _table(cube, labels, dates, by, counts)
+    return _table(cube, labels, dates, by, groups, counts)
 
 
 def _table(rows: DataFrame, labels: Mapping[str, str], dates: ReportDates, by: Sequence[str],
-           counts: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+           groups: Sequence[tuple] | None, counts: Mapping[str, tuple[Column, Column]]) -> DataFrame:
     inside = dates.periods(F.col("service_date"))
     flags = {period: F.coalesce(inside[period], F.lit(False)) for period in PERIODS[:2]}
     sums = {}
@@ -58,13 +61,7 @@ def _table(rows: DataFrame, labels: Mapping[str, str], dates: ReportDates, by: S
         sums |= {f"t_{code}": tested, f"p_{code}": positive}
     parts = rows.groupBy(*by, *[flag.alias(p) for p, flag in flags.items()]).agg(
         *[count.alias(name) for name, count in sums.items()])
-    if not by:
-        # Without groups the table is complete even if there is no case at all.
-        empty = rows.sparkSession.range(1).select(
-            *[F.lit(False).alias(p) for p in flags],
-            *[F.lit(0).cast("bigint").alias(name) for name in sums])
-        parts = parts.unionByName(empty)
-
+    parts = with_groups(parts, by, groups)
     by_period = unpivot_records(parts, [*by, *sums], [
         {"group": F.lit(p), "inside": F.col(p) if p in flags else F.lit(True)} for p in PERIODS])
     long = unpivot_records(by_period, [*by, "group", "inside"], [
@@ -72,7 +69,8 @@ def _table(rows: DataFrame, labels: Mapping[str, str], dates: ReportDates, by: S
          "tested": F.col(f"t_{code}"), "positive": F.col(f"p_{code}")}
         for order, code, label in ordered_codes(labels)])
     n_tested, n_positive = [
-        F.sum(F.when(F.col("inside"), F.col(c)).otherwise(0)) for c in ("tested", "positive")]
+        F.coalesce(F.sum(F.when(F.col("inside"), F.col(c))), F.lit(0))
+        for c in ("tested", "positive")]
     return (
         long.groupBy(*by, "group", "etiology", "label", "ord")
         .agg(n_tested.alias("n_tested"), n_positive.alias("n_positive"))

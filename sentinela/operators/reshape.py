@@ -38,6 +38,24 @@ def pivot_first(df: DataFrame, keys: Sequence[str], column: str, values: Sequenc
     return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(fill)).alias(v) for v in values])
 
 
+def with_groups(df: DataFrame, by: Sequence[str], groups: Sequence[tuple] | None) -> DataFrame:
+    """Add a row of NULLs for every listed group, so that it appears even without data.
+
+    Without grouping columns the only group is the empty one.
+    """
+    groups = groups or ([()] if not by else [])
+    if not groups:
+        return df
+    seed = df.sparkSession.range(1)
+    if by:
+        seed = seed.select(F.inline(F.array(*[
+            F.struct(*[F.lit(value).alias(name) for name, value in zip(by, group, strict=True)])
+            for group in groups])))
+    return df.unionByName(seed.select(*[
+        F.col(f.name) if f.name in by else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in df.schema.fields]))
+
+
 def ordered_codes(labels: Mapping[str, str]) -> list[tuple[int, str, str]]:
     """``(ord, code, label)`` of an etiology list, in display order."""
     return [(i, code, label) for i, (code, label) in enumerate(labels.items(), 1)]

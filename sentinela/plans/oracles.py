@@ -285,15 +285,19 @@ def stored_positivity() -> str:
             '{label}' as label, {i} as ord,
             count("{code}") filter (where {inside}) as n_tested,
             count(*) filter (where {inside} and "{code}") as n_positive
-            from cases group by site_name, disposition"""
+            from grid left join cases using (site_name, disposition)
+            group by site_name, disposition"""
             for period, inside in periods.items()
             for i, (code, label) in enumerate(pack.table_labels.items(), 1))
         disposition = split if name == "diarrheal" else "'all'"
+        grid = ", ".join(f"('{site}', '{part}')" for site in t.SITES for part in (
+            ("admitted", "emergency") if name == "diarrheal" and site in t.HOSPITALS else ("all",)))
         # The view snapshot ends at last Friday, before the first row per subject is chosen.
         lines = line_list(name, view, rules).replace(
             "from raw),", "from raw where PDAInsertDate <= timestamp '2001-07-27'),", 1)
         parts.append(f"""select '{name}' as syndrome, * from (with cases as (
-          select *, {disposition} as disposition from ({lines})) {cells})""")
+          select *, {disposition} as disposition from ({lines})),
+          grid as (select * from (values {grid}) g(site_name, disposition)) {cells})""")
     return f"""select *, case when n_tested = 0 then 0
       else round_even(n_positive / n_tested * 100, 0) end::double as percent_positive from ({' union all '.join(parts)})"""
 

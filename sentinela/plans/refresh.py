@@ -29,6 +29,7 @@ class Settings:
     """What differs between deployments."""
 
     sites: tuple[str, ...] = tuple(syndromes.ACTIVE_SITES)
+    hospitals: tuple[str, ...] = tuple(syndromes.HOSPITAL_SITES)
     consent: str = "pacienteInscrito"
     soft_catchment: Mapping[str, str] = field(default_factory=lambda: syndromes.SOFT_CATCHMENT)
     previous_years: int = syndromes.PREVIOUS_YEARS
@@ -149,6 +150,14 @@ def _grouping(syndrome: Syndrome) -> list[str]:
     return ["site_name", "disposition"] if syndrome.has_disposition else ["site_name"]
 
 
+def _groups(syndrome: Syndrome, settings: Settings) -> list[tuple]:
+    """Sites, or sites and dispositions, that are reported even without a case."""
+    if not syndrome.has_disposition:
+        return [(site,) for site in settings.sites]
+    return [(site, part) for site in settings.sites
+            for part in (("admitted", "emergency") if site in settings.hospitals else ("all",))]
+
+
 def with_disposition(cases: DataFrame) -> DataFrame:
     """Hospital cases split by disposition; a clinic shows all its cases together."""
     split = disposition(F.col("admitted"), F.col("emergency"))
@@ -178,11 +187,13 @@ def _cube_tables(syndrome: Syndrome, done: Mapping[str, DataFrame], dates: Repor
     """Tables that add up the daily cube or the located cases."""
     name, by, etiologies = syndrome.name, _grouping(syndrome), list(syndrome.labels)
     daily, points = done[f"{name}_daily"], done[f"{name}_map_points"]
+    groups = _groups(syndrome, settings)
     bands = corridor.corridor_from_counts(
-        cube.cube_weekly_counts(daily, by), dates, settings.previous_years, syndrome.ylim, by)
+        cube.cube_weekly_counts(daily, by), dates, settings.previous_years, syndrome.ylim, by,
+        groups)
     return {
         f"{name}_positivity": lambda: positivity.positivity_from_cube(
-            daily, syndrome.table_labels, dates, by=by),
+            daily, syndrome.table_labels, dates, by=by, groups=groups),
         f"{name}_corridor_current": lambda: bands.current,
         f"{name}_corridor_range": lambda: bands.range,
         f"{name}_corridor_polygons": lambda: bands.polygons,

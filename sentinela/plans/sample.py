@@ -12,6 +12,7 @@ from sentinela.sources import views
 
 SETTINGS = Settings(
     sites=tuple(tables.SITES),
+    hospitals=tuple(tables.HOSPITALS),
     soft_catchment=tables.SOFT_CATCHMENT,
     previous_years=tables.PREVIOUS_YEARS,
     group_columns={

@@ -191,6 +191,7 @@ MAP_MONTHS = 3
 
 # Active sites, their display names and department names.
 ACTIVE_SITES = ["CS-NSR", "H-Cuilapa", "H-Xela", "CS-SM"]
+HOSPITAL_SITES = ["H-Cuilapa", "H-Xela"]
 SITE_NAMES = {
     "H-Cuilapa": "Hospital de Cuilapa",
     "H-Xela": "Hospital de Quetzaltenango",

@@ -151,6 +151,17 @@ def test_positivity_of_no_cases_is_a_table_of_zeros(spark):
     assert {(r["n_tested"], r["n_positive"], r["percent_positive"]) for r in table} == {(0, 0, 0.0)}
 
 
+def test_listed_groups_appear_without_cases(spark):
+    table = positivity.positivity_table(
+        sample(spark), LABELS, DATES, by=["site_name"], groups=[("A",), ("Z",)])
+    sizes = {r["site_name"]: r["count"] for r in table.groupBy("site_name").count().collect()}
+    assert sizes == {"A": 6, "B": 6, "Z": 6}
+    assert table.where("site_name = 'Z' and n_tested = 0 and percent_positive = 0").count() == 6
+    weeks = corridor.endemic_corridor(
+        sample(spark), DATES, by=["site_name"], groups=[("Z",)]).current
+    assert weeks.where("site_name = 'Z' and casos is null").count() == 52
+
+
 def test_percentages_round_ties_to_even(spark):
     rows = [(i, D(2018, 6, 5), 2018, 1, "hospital", "A", "SR", i < 1, i < 3, True) for i in range(8)]
     table = positivity.positivity_table(case_rows(spark, rows), LABELS, DATES)

@@ -183,7 +183,8 @@ def test_refresh_of_catalog_views(spark, folder):
     sources = refresh.default_sources(
         tables.communities(spark, sf), tables.department_outlines(spark, sf))
     settings = refresh.Settings(
-        sites=tuple(tables.SITES), soft_catchment=tables.SOFT_CATCHMENT, consent="inscrito",
+        sites=tuple(tables.SITES), hospitals=tuple(tables.HOSPITALS),
+        soft_catchment=tables.SOFT_CATCHMENT, consent="inscrito",
         previous_years=tables.PREVIOUS_YEARS)
     stored = refresh.run_refresh(spark, sources, folder, tables.DATES, settings)
     assert set(stored["group_subject"].columns) == set(views.group_columns("inscrito")["subject"])
@@ -202,3 +203,25 @@ def test_command_line():
     options = weekly.arguments([
         "--run-date", "2018-06-17", "--root", "r", "--communities", "a/c", "--departments", "a/d"])
     assert options.run_date == D(2018, 6, 17) and options.consent == "pacienteInscrito"
+
+
+def test_command_line_runs_even_without_a_single_case(spark, folder):
+    """The default sites do not occur in the test views: zeros and empty weeks for all of them."""
+    sf = "/root/testdata/sf0.001"
+    catalog_views(spark, sf)
+    tables.communities(spark, sf).write.parquet(f"{folder}/communities")
+    tables.department_outlines(spark, sf).write.parquet(f"{folder}/departments")
+    weekly.main([
+        "--run-date", "2001-07-29", "--root", f"{folder}/root", "--consent", "inscrito",
+        "--communities", f"{folder}/communities", "--departments", f"{folder}/departments",
+        "--export", f"{folder}/export", "--format", "parquet"])
+    week = f"{folder}/root/as_of=2001-07-27"
+    assert spark.read.parquet(f"{week}/view_febrile").count() > 0
+    for name in ("cases", "daily", "corridor_polygons", "map_points"):
+        assert spark.read.parquet(f"{week}/respiratory_{name}").count() == 0
+    zeros = spark.read.parquet(f"{week}/diarrheal_positivity")
+    assert zeros.count() == 6 * 3 * 12 and zeros.agg(F.sum("n_tested")).first()[0] == 0
+    weeks = spark.read.parquet(f"{week}/diarrheal_corridor_current")
+    assert weeks.count() == 6 * 52 and weeks.where("casos is not null").count() == 0
+    assert spark.read.parquet(f"{folder}/export/map_bounds").count() == 3
+    assert spark.read.parquet(f"{folder}/export/diarrheal_axis").first()["max_cases"] is None
