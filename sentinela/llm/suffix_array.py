@@ -3,8 +3,8 @@
 Nong, Zhang and Chan's scheme: suffixes are classified as smaller or larger than their
 successor, the substrings between leftmost-smaller positions are sorted by induction and
 named, the string of names is sorted recursively, and all suffixes are induced from its order
-in linear time. Over bytes a bucket's suffixes are induced together, as arrays; the
-recursion, over names, moves one suffix at a time.
+in linear time. Over bytes a bucket's suffixes are induced together, as arrays. In the
+recursion, over names, the substrings are sorted by radix and suffixes induced one at a time.
 """
 
 from __future__ import annotations
@@ -81,37 +81,76 @@ def _induce_bytes(text: np.ndarray, smaller: np.ndarray, left: np.ndarray) -> np
     return order
 
 
-def _induce_names(names: list[int], smaller: list[bool], left: list[int], size: int) -> list[int]:
-    """The same over an alphabet of ``size`` names, one suffix at a time."""
-    n = len(names)
+def _induce_names(names: list[int], smaller: np.ndarray, left: list[int], size: int) -> list[int]:
+    """The same over an alphabet of ``size`` names, one suffix at a time.
+
+    The lists are walked while they fill. A place before the first has a kind of its own, so that
+    what is still empty needs no test.
+    """
     counts = np.bincount(names, minlength=size)
     ends = np.cumsum(counts)
-    order = [-1] * n
+    order = [-1] * len(names)
     tails = (ends - 1).tolist()
     for at in reversed(left):
         name = names[at]
         order[tails[name]] = at
         tails[name] -= 1
     fill = (ends - counts).tolist()
-    name = names[n - 1]
-    order[fill[name]] = n - 1
+    name = names[-1]
+    order[fill[name]] = len(names) - 1
     fill[name] += 1
-    for i in range(n):
-        at = order[i] - 1
-        if at >= 0 and not smaller[at]:
+    wanted = (~smaller).tolist() + [False, False]
+    for at in order:
+        at -= 1
+        if wanted[at]:
             name = names[at]
-            order[fill[name]] = at
-            fill[name] += 1
+            place = fill[name]
+            order[place] = at
+            fill[name] = place + 1
     tails = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        at = order[i] - 1
-        if at >= 0 and smaller[at]:
+    wanted = smaller.tolist() + [False, False]
+    for at in reversed(order):
+        at -= 1
+        if wanted[at]:
             name = names[at]
-            order[tails[name]] = at
-            tails[name] -= 1
+            place = tails[name]
+            order[place] = at
+            tails[name] = place - 1
     return order
 
 
+def _sorted_names(names: np.ndarray, smaller: np.ndarray, left: np.ndarray, size: int
+                  ) -> tuple[np.ndarray, int]:
+    """Names of the leftmost-smaller substrings of a string of names, by radix sort.
+
+    Letters are compared three at a time, with their types, as arrays; only substrings that are
+    still equal to another and not at their end go on.
+    """
+    n, base = len(names), 2 * size + 3
+    letters = np.concatenate([2 * names + smaller + 1, np.zeros(3, np.int64)])
+    length = np.append(left[1:], n) - left + 1
+    rank = np.zeros(len(left), np.int64)
+    open_, k = np.arange(len(left)), 0
+    while len(open_):
+        code = np.zeros(len(open_), np.int64)
+        for step in range(k, k + 3):
+            letter = letters[np.minimum(left[open_] + step, n)]
+            code = code * base + np.where(step < length[open_], letter, 0)
+        turn = np.lexsort((code, rank[open_]))
+        open_, code = open_[turn], code[turn]
+        old = rank[open_]
+        group = np.append(True, old[1:] != old[:-1])
+        new = group | np.append(True, code[1:] != code[:-1])
+        places = np.arange(len(open_))
+        first = np.maximum.accumulate(np.where(new, places, 0))
+        rank[open_] = old + first - np.maximum.accumulate(np.where(group, places, 0))
+        k += 3
+        alone = new & np.append(new[1:], True)
+        open_ = open_[~alone & (length[open_] > k)]
+    ranks, names_ = np.unique(rank, return_inverse=True)
+    return names_, len(ranks)
+
+
 def _named(text: np.ndarray, left: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the leftmost-smaller substrings in text order, and how many there are."""
     n = len(text)
@@ -143,16 +182,19 @@ def suffix_array(text: np.ndarray, size: int = 256) -> np.ndarray:
         def induce(start):
             return _induce_bytes(text, smaller, start)
     else:
-        names, kinds = text.tolist(), smaller.tolist()
+        names = text.tolist()
 
         def induce(start):
-            return np.array(_induce_names(names, kinds, start.tolist(), size))
+            return np.array(_induce_names(names, smaller, start.tolist(), size))
     if not len(left):
         return induce(left)
-    is_left = np.zeros(n, bool)
-    is_left[left] = True
-    rough = induce(left)
-    names_, count = _named(text, left, rough[is_left[rough]])
+    if size <= 256:
+        is_left = np.zeros(n, bool)
+        is_left[left] = True
+        rough = induce(left)
+        names_, count = _named(text, left, rough[is_left[rough]])
+    else:
+        names_, count = _sorted_names(text, smaller, left, size)
     if count == len(left):
         ordered = np.empty(count, np.int64)
         ordered[names_] = left
