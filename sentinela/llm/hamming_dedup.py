@@ -17,8 +17,9 @@ are not paired all with all:
 2. The distance being a metric, a member connected to its pivot can be left out if no
    unconnected member of the key can be within its reach. Keys of near copies end here.
 3. What is left is compared in blocks of at most ``BLOCK`` classes, a larger key in pairs
-   of blocks. Of a class's partners within reach, the nearest few are confirmed, then eight
-   times as many in each further round, skipping pairs connected by then, until all are done.
+   of blocks: signatures first, then, for classes with an unconnected partner within reach, the
+   shingle sets of the block's texts. A pair is compared under its first common key only,
+   and a block gives out a spanning forest of its links, so nothing grows with the pairs.
 
 Edge cases: a null text or one without words has an empty set and is linked with nothing; a
 null id is linked with nothing and kept; rows that share an id are one document with all
@@ -43,7 +44,7 @@ CHUNK = SYMBOLS // CHUNKS
 REACH = CHUNKS * (ERRORS + 1) - 1
 SHINGLE = 5
 LEAST_PERCENT = 75
-BLOCK = 2000
+BLOCK = 1000
 PAIRS_PER_HUB = 500
 
 _RANDOM = np.random.default_rng(20)
@@ -174,44 +175,91 @@ def _grown(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(components(links), "near-groups")
 
 
-def close_partners(members: DataFrame, first: int, last: int) -> DataFrame:
-    """Pairs of unconnected classes of a block, by rank of a class's partners within reach.
+def _within_reach(symbols: np.ndarray, x: int, others: np.ndarray, key: int) -> np.ndarray:
+    """Those of the rows ``others`` within reach of row x whose first common key is this one."""
+    differ = symbols[others] != symbols[x]
+    close = differ.sum(1) <= REACH
+    differ, others = differ[close], others[close]
+    # Chunks with few enough errors; of the first one, the symbol to leave out.
+    chunks = differ.reshape(-1, CHUNKS, CHUNK)
+    first = (chunks.sum(2) <= ERRORS).argmax(1)
+    out = chunks[np.arange(len(others)), first].argmax(1)
+    return others[first * CHUNK + out == key >> (BITS * (CHUNK - ERRORS))]
 
-    ``members`` has rows ``(key, i, j, block, rep, component, signature)``; classes of block
-    ``i`` meet those of block ``j``. All of a class's partners in the block are ranked, whether
-    connected or not, so the ranks stay the same from round to round. ``more`` tells
-    whether a block has partners beyond ``last``.
+
+def _block_rows(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each unconnected pair of rows within reach once: a row and its later partners."""
+    symbols, comps = _matrix(group.column("signature")), group.column("component").to_numpy()
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+    blocks = group.column("block").to_numpy()
+    rows = np.arange(len(blocks))
+    right = rows[blocks == j]
+    for x in rows[blocks == i]:
+        others = right[right > x] if i == j else right
+        found = _within_reach(symbols, x, others[comps[others] != comps[x]], key)
+        if len(found):
+            yield x, found
+
+
+BLOCK_KEYS = ["key", "i", "j"]
+
+
+def with_partners(members: DataFrame) -> DataFrame:
+    """Rows of blocks that have an unconnected partner within reach, without the signature."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_runs(batches, BLOCK_KEYS):
+            has = np.zeros(group.num_rows, bool)
+            for x, found in _block_rows(group):
+                has[x] = True
+                has[found] = True
+            if has.any():
+                yield from group.filter(pa.array(has)).to_batches()
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
+    return members.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "rep").mapInArrow(
+        chosen, schema)
+
+
+def confirm_in_blocks(members: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect what the blocks' confirmed pairs connect.
+
+    All unconnected pairs within reach are confirmed on the sets of the block's texts; pairs that
+    an earlier one has connected need no look. A spanning forest goes out, not the pairs.
     """
 
-    def block_pairs(group: pa.Table) -> pa.RecordBatch:
-        reps, comps = group.column("rep").to_numpy(), group.column("component").to_numpy()
-        symbols = _matrix(group.column("signature"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        blocks = group.column("block").to_numpy()
-        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-        a, b, more = [], [], []
-        for own, others in ((left, right), (right, left))[:1 if i == j else 2]:
-            theirs = symbols[others]
-            for x in own:
-                distance = (theirs != symbols[x]).sum(1)
-                close = others[(distance <= REACH) & (others != x)]
-                ranked = close[np.lexsort((reps[close], distance[np.searchsorted(others, close)]))]
-                chosen = ranked[first:last]
-                chosen = chosen[comps[chosen] != comps[x]]
-                a.append(np.minimum(reps[chosen], reps[x]))
-                b.append(np.maximum(reps[chosen], reps[x]))
-                if len(ranked) > last and (comps[ranked[last:]] != comps[x]).any():
-                    more = [-1]
-        none = np.array(more, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
-
-    def in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_runs(batches, ["key", "i", "j"]):
-            yield block_pairs(group)
-
-    return (members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-            .mapInArrow(in_runs, "a long, b long"))
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_runs(batches, BLOCK_KEYS):
+            reps = group.column("rep").to_numpy()
+            sets = shingle_sets(group.column("text"), SHINGLE)
+            sizes = np.array([len(s) for s in sets])
+            root, links = list(range(len(reps))), []
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for x, found in _block_rows(group):
+                found = found[np.array([top(y) != top(x) for y in found.tolist()], bool)]
+                # Similar sets are of similar size.
+                small, large = np.minimum(sizes[found], sizes[x]), np.maximum(sizes[found], sizes[x])
+                found = found[100 * small >= LEAST_PERCENT * large]
+                if not len(found) or not sizes[x]:
+                    continue
+                flat = np.concatenate([sets[y] for y in found])
+                at = np.minimum(np.searchsorted(sets[x], flat), sizes[x] - 1)
+                ends = np.cumsum(sizes[found])
+                both = np.diff(np.concatenate([[0], np.cumsum(sets[x][at] == flat)[ends - 1]]))
+                for y in found[100 * both >= LEAST_PERCENT * (sizes[x] + sizes[found] - both)].tolist():
+                    if top(x) != top(y):
+                        links.append((reps[x], reps[y]))
+                        root[top(y)] = top(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return members.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "rep").mapInArrow(
+        confirmed, "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, id_column: str = "doc_id",
@@ -237,12 +285,14 @@ def near_groups(docs: DataFrame, *, id_column: str = "doc_id",
 
     # Each class with the pivot it meets most often, then the other pivots within reach.
     close = stars.where(f"distance <= {REACH}")
+    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
+    texts = stored(docs.join(ids, "doc_id", "left_semi"), "near-texts")
     first = close.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    linked = stored(confirm(stored(first.select("a", "b"), "near-pairs"), docs), "near-links")
+    linked = stored(confirm(stored(first.select("a", "b"), "near-pairs"), texts), "near-links")
     groups = _grown(None, linked)
     rest = _connected(close.select("a", "b"), groups, "a", "b").where("ca != cb").select("a", "b")
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    groups = _grown(groups, confirm(rest, docs))
+    groups = _grown(groups, confirm(rest, texts))
 
     # Keys with classes not connected to their pivot, and whom those may still link with.
     apart = _connected(members.join(
@@ -256,16 +306,15 @@ def near_groups(docs: DataFrame, *, id_column: str = "doc_id",
     blocks = stored(in_blocks(left.join(sizes, "key").select("key", "rep", "size"), "key", "rep", BLOCK),
                     "near-blocks")
     known = classes.groupBy("rep").agg(F.first("signature").alias("signature"))
-    seen, last = 0, 4
-    while not blocks.isEmpty():
-        own = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("component"))
-        rows = blocks.join(known, "rep").join(own, "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep"))
-        pairs = stored(close_partners(rows, seen, last).distinct(), "near-pairs")
-        groups = _grown(groups, confirm(pairs.where("a != b"), docs))
-        if pairs.where("a = b").isEmpty():
-            break
-        seen, last = last, 8 * last
+    own = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("component"))
+    blocks = blocks.join(known, "rep").join(own, "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")).select(
+        *BLOCK_KEYS, "block", "rep", "component", "signature")
+    blocks = stored(with_partners(blocks), "near-blocks")
+    ids = blocks.select(F.col("rep").alias("doc_id")).distinct()
+    texts = stored(docs.join(ids, "doc_id", "left_semi"), "near-texts")
+    groups = _grown(groups, confirm_in_blocks(
+        blocks.join(texts.withColumnRenamed("doc_id", "rep"), "rep")))
 
     reps = classes.select("set_hash", "rep")
     named = groups.select(F.col("id").alias("rep"), "component_id")
