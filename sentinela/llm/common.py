@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.sources.snapshots import new_folder
@@ -119,6 +119,31 @@ def in_blocks(members: DataFrame, key: str, item: str, most: int) -> DataFrame:
             .withColumn("j", F.greatest("block", "_other")).drop("_blocks", "_other"))
 
 
+# Positions of the filter below: bitmaps of 2 MB in all, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose id may be among the ids: all that are, and few others.
+
+    A bitmap of a fixed number of hash positions is broadcast, so that long rows that the exact
+    join would drop are not shuffled for it. ``ids`` has one column. With far more ids than
+    positions nothing is filtered, which is slower but as right.
+    """
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(FILTER_BITS))
+
+    own = place(ids.columns[0])
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(own).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits"))
+    names = rows.columns
+    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(place(column)),
+                               "_bit": F.bitmap_bit_position(place(column))})
+    is_set = "(shiftright(cast(conv(hex(substring(_bits, int(_bit div 8) + 1, 1)), 16, 10) as int), " \
+             "int(_bit % 8)) & 1) = 1"
+    return marked.join(F.broadcast(bitmaps), "_bucket").where(is_set).select(*names)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges ``(a, b)`` of ids.
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import components, in_blocks, key_runs, slices, stored
+from sentinela.llm.common import components, in_blocks, key_runs, maybe_among, slices, stored
 from sentinela.llm.words import mix, shingle_hashes, shingle_sets, word_hashes, words
 
 SYMBOLS, BITS, CHUNKS, ERRORS = 40, 16, 10, 1
@@ -286,7 +286,8 @@ def near_groups(docs: DataFrame, *, id_column: str = "doc_id",
     # Each class with the pivot it meets most often, then the other pivots within reach.
     close = stars.where(f"distance <= {REACH}")
     ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi"), "near-texts")
+    # Not a semi join: Spark would do that before the filter.
+    texts = stored(maybe_among(docs, ids, "doc_id").join(ids, "doc_id"), "near-texts")
     first = close.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     linked = stored(confirm(stored(first.select("a", "b"), "near-pairs"), texts), "near-links")
     groups = _grown(None, linked)
@@ -312,7 +313,8 @@ def near_groups(docs: DataFrame, *, id_column: str = "doc_id",
         *BLOCK_KEYS, "block", "rep", "component", "signature")
     blocks = stored(with_partners(blocks), "near-blocks")
     ids = blocks.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi"), "near-texts")
+    # Not a semi join: Spark would do that before the filter.
+    texts = stored(maybe_among(docs, ids, "doc_id").join(ids, "doc_id"), "near-texts")
     groups = _grown(groups, confirm_in_blocks(
         blocks.join(texts.withColumnRenamed("doc_id", "rep"), "rep")))
 
