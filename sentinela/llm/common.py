@@ -17,15 +17,21 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 # Text that a Python task works on at once. Arrow batches hold a number of rows, and rows
 # may be long, so tasks cut them into slices of about this size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+# Bytes of an Arrow batch, of which a Python worker holds one or two.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver has it.
+    """Let Python workers import this library from where the driver has it, and bound their batches.
 
-    For a cluster that has the library installed or given by ``--py-files`` it changes
-    nothing.
+    For a cluster that has the library installed or given by ``--py-files`` the first changes
+    nothing. Batches are kept small because texts may be long and two workers share an
+    executor's memory with its JVM; a smaller setting of the session stays.
     """
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(batch).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(batch, str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
