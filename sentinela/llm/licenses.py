@@ -138,23 +138,34 @@ def retrieve(runs: np.ndarray, starts: np.ndarray, templates: Templates) -> set[
 def matches(texts: pa.Array, templates: Templates) -> list[tuple[int, int, int, int, int]]:
     """(text, template, first word, end word, shared shingles) of verified places."""
     runs, starts, _ = text_shingles(texts)
-    best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for t, a, b in sorted(retrieve(runs, starts, templates)):
+    places: dict[tuple[int, int], set[int]] = {}
+    for t, a, b in retrieve(runs, starts, templates):
         own = templates.shingles[t]
-        at = np.flatnonzero(np.isin(runs[a:b], own))
-        shared = len(np.unique(runs[a:b][at]))
-        if len(at) and 100 * shared >= LEAST_PERCENT * len(own):
+        at = a + np.flatnonzero(np.isin(runs[a:b], own))
+        if len(at) and 100 * len(np.unique(runs[at])) >= LEAST_PERCENT * len(own):
             text = int(np.searchsorted(starts, a, "right")) - 1
-            first = a + int(at[0]) - int(starts[text])
-            place = (first, first + int(at[-1] - at[0]) + SHINGLE, shared)
-            places = best.setdefault((text, t), [])
-            # Overlapping windows see the same place; the fuller sight counts.
-            if places and place[0] < places[-1][1]:
-                if place[2] > places[-1][2]:
-                    places[-1] = place
-            else:
-                places.append(place)
-    return [(text, t, *place) for (text, t), places in sorted(best.items()) for place in places]
+            places.setdefault((text, t), set()).update(at.tolist())
+    found = []
+    for (text, t), at in sorted(places.items()):
+        at, least = sorted(at), LEAST_PERCENT * len(templates.shingles[t])
+        width = 2 * next(b for b, own in templates.blocks.items() if t in own)
+        k = 0
+        while k < len(at):
+            # From here on as far as a window reaches; a place ends where nothing new comes.
+            seen, end = set(), k
+            for other in range(k, len(at)):
+                if at[other] >= at[k] + width:
+                    break
+                if int(runs[at[other]]) not in seen:
+                    seen.add(int(runs[at[other]]))
+                    end = other
+            if 100 * len(seen) < least:
+                k += 1
+                continue
+            first = int(starts[text])
+            found.append((text, t, at[k] - first, at[end] - first + SHINGLE, len(seen)))
+            k = end + 1
+    return found
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, list[str]] | None = None, *,

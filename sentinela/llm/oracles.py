@@ -1,3 +1,130 @@
-"""SQL twins of the queries that SQL can express."""
+"""SQL twins of the queries that SQL can express, over whole tables."""
+
+from __future__ import annotations
+
+from sentinela.llm.quality import BOILERPLATE, NAVIGATION, RULES, SYMBOLS, TERMINAL
 
 ORACLES: dict[str, str] = {}
+
+# Base 32 of a SHA-1: five hexadecimal digits are four digits of 32.
+ORACLES["op1_warc"] = """
+with own as (
+    select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hexed from pages
+), coded as (
+    select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes,
+        list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+            cast((cast('0x' || substr(hexed, cast(k // 4 * 5 + 1 as int), 5) as bigint)
+                  >> (15 - 5 * (k % 4))) & 31 as int), 1)), 'string_agg', '') as payload_digest
+    from own
+), firsts as (
+    select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from coded
+)
+select page_id, payload_bytes, payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id = first then null else first end as refers_to
+from firsts
+"""
+
+ORACLES["op3_flat_graph"] = """
+with recursive units as (
+    select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+    where embedding is not null and len(embedding) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from units a join units b on a.vec_id != b.vec_id
+    where len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(id, other) as (
+    select a, b from links union select r.id, l.b from reach r join links l on r.other = l.a
+), least as (select id, least(id, min(other)) as component_id from reach group by id)
+select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links,
+    coalesce(l.component_id, e.vec_id) as component_id,
+    e.vec_id = coalesce(l.component_id, e.vec_id) as kept, cast(1.0 as double) as audited_recall
+from embeddings e left join least l on l.id = e.vec_id
+"""
+
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op6_hamming"] = f"""
+with recursive own as (
+    select doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+        as w from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else
+        list_distinct(list_transform(range(1, len(w) - 3),
+            lambda i: array_to_string(w[i:i + 4], ' '))) end as s from own
+), items as (select doc_id, len(s) as n, unnest(s) as g from sets
+), links as (
+    select a.doc_id as a, b.doc_id as b from items a join items b on a.g = b.g and a.doc_id != b.doc_id
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(id, other) as (
+    select a, b from links union select r.id, l.b from reach r join links l on r.other = l.a
+), least as (select id, least(id, min(other)) as component_id from reach group by id)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles,
+    coalesce(l.component_id, s.doc_id) as component_id,
+    s.doc_id = coalesce(l.component_id, s.doc_id) as kept
+from sets s left join least l on l.id = s.doc_id
+"""
+
+
+def _listed(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COUNT = "(length({0}) - length(replace({0}, '{1}', ''))) // {2}"
+_SYMBOLS = " + ".join(_COUNT.format("{0}", s, 1) for s in SYMBOLS)
+
+ORACLES["op10_quality"] = f"""
+with docs as (select doc_id, coalesce(text, '') as text from documents
+), parts as (
+    select doc_id, unnest(string_split(text, chr(10))) as line,
+        generate_subscripts(string_split(text, chr(10)), 1) as pos from docs
+), lines as (
+    select *, {_WORDS.format("line")} as w from parts
+), worded as (
+    select *, len(w) as n, row_number() over (partition by doc_id, line order by pos) > 1 as again,
+        {_COUNT.format("line", "|", 1)} as pipes, {_SYMBOLS.format("line")} as symbols,
+        {_COUNT.format("line", "!!", 2)} as shouts from lines where len(w) > 0
+), judged as (
+    select *, case when again then 'boilerplate'
+        when 5 * pipes > {RULES.symbols_per_5_words} * n then 'navigation'
+        when 5 * symbols > {RULES.symbols_per_5_words} * n
+            or 2 * shouts > {RULES.shouts_per_2_words} * n then 'punctuation'
+        when n < {RULES.short_line_words} and len(list_filter(w, lambda x:
+            {_LOWERED.format("x")} not in ({_listed(NAVIGATION)}))) = 0 then 'navigation'
+        when n < {RULES.short_line_words} and right(w[n], 1) not in ({_listed(TERMINAL)}) then 'punctuation'
+        when {" or ".join(f"contains({_LOWERED.format('line')}, '{b}')" for b in BOILERPLATE)}
+            then 'boilerplate' end as fault from worded
+), by_line as (
+    select doc_id, sum(again::int) as n_dup_lines, count(fault) as n_removed_lines,
+        sum(case when fault is not null then length(line) else 0 end) as removed_chars,
+        sum(length(line)) as line_chars,
+        count(*) filter (fault = 'punctuation') as failed_punctuation,
+        count(*) filter (fault = 'navigation') as failed_navigation,
+        count(*) filter (fault = 'boilerplate') as failed_boilerplate from judged group by doc_id
+), words as (select doc_id, text, {_WORDS.format("text")} as w from docs
+), windows as (
+    select doc_id, unnest(range(1, len(w) - 1)) as pos,
+        unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) as g
+    from words where len(w) >= 3
+), often as (select doc_id, pos, count(*) over (partition by doc_id, g) as c from windows
+), covered as (
+    select doc_id, count(distinct pos + k) as n_repeat_words
+    from often cross join range(3) t(k) where c > 1 group by doc_id
+), counts as (
+    select w.doc_id, cast(len(w) as bigint) as n_words,
+        cast(coalesce(length(array_to_string(w, '')), 0) as bigint) as word_chars,
+        cast({_SYMBOLS.format("text")} as bigint) as n_symbols,
+        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, l.* exclude (doc_id)
+    from words w left join covered c using (doc_id) left join by_line l using (doc_id)
+), base as (
+    select *, n_words < {RULES.least_words}
+        or 100 * n_repeat_words > {RULES.most_repeated_percent} * n_words as base_failed from counts
+)
+select doc_id, n_words, word_chars, n_symbols, n_repeat_words, base_failed,
+    {", ".join(f"cast(coalesce({c}, 0) as bigint) as {c}" for c in (
+        "n_dup_lines", "n_removed_lines", "removed_chars", "line_chars", "failed_punctuation",
+        "failed_navigation", "failed_boilerplate"))},
+    not base_failed and 100 * coalesce(removed_chars, 0)
+        <= {RULES.most_removed_percent} * coalesce(line_chars, 0) as kept
+from base
+"""
