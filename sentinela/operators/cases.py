@@ -32,10 +32,12 @@ def first_seen(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Colu
 
     Followed by a filter on the flag, Spark keeps one candidate per key and input
     partition before the shuffle, so a key that holds a third of all rows
-    reaches its task as at most one row per map task.
+    reaches its task as at most one row per map task. Rows that tie are ordered by a
+    hash of all columns, so the choice does not depend on the order of the input.
     """
     window = Window.partitionBy(*keys).orderBy(
-        *[(F.col(o) if isinstance(o, str) else o).asc_nulls_last() for o in order_by])
+        *[(F.col(o) if isinstance(o, str) else o).asc_nulls_last() for o in order_by],
+        F.xxhash64(*df.columns))
     return df.withColumn(flag, F.row_number().over(window))
 
 
@@ -73,9 +75,9 @@ def at_sites(cases: DataFrame, site: str | Sequence[str] = "all",
     if check:
         missing = sorted(set(wanted) - set(known_sites(cases, wanted, column)))
         if missing:
-            others = [str(r[0]) for r in cases.select(column).distinct().limit(20).collect()]
+            others = [str(r[0]) for r in cases.select(column).distinct().collect()]
             warnings.warn(
-                f"sites not found: {', '.join(missing)}; some of those present: "
+                f"sites not found: {', '.join(missing)}; those present: "
                 f"{', '.join(sorted(others))}", stacklevel=2)
     return cases.where(F.col(column).isin(*wanted))
 

@@ -46,7 +46,7 @@ def with_groups(df: DataFrame, by: Sequence[str], groups: Sequence[tuple] | None
     groups = groups or ([()] if not by else [])
     if not groups:
         return df
-    seed = df.sparkSession.range(1)
+    seed = df.sparkSession.range(0, 1, 1, 1)
     if by:
         seed = seed.select(F.inline(F.array(*[
             F.struct(*[F.lit(value).alias(name) for name, value in zip(by, group, strict=True)])

@@ -144,17 +144,26 @@ def stacked_series(points: DataFrame, series: str, order: Sequence[str], *,
 
     A missing value stacks as the line between its neighbours; beyond the first or last
     value it takes that value (``"all"``) or 0 (``"inside"``); ``"none"`` stacks 0.
-    Series and dates are completed through a pivot, so no grid is joined.
+    Series that ``order`` does not name follow those it names, by name. The grid of dates and
+    series is exploded from one row of points, never of cases.
     """
     _require_points(points)
     if fill not in ("all", "inside", "none"):
         raise ValueError(f"fill must be all, inside or none, not {fill!r}")
-    names = list(order)
-    wide = points.groupBy("t").pivot(series, names).agg(F.sum(valid(F.col(y))))
-    grid = wide.select("t", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(name).alias(series),
-                 F.col(f"`{name}`").cast("double").alias("y"))
-        for i, name in enumerate(names, 1)])))
+    listed = F.array(*[F.lit(name) for name in order]).cast("array<string>")
+    sums = points.groupBy("t", series).agg(F.sum(valid(F.col(y))).cast("double").alias("y"))
+    # One row with the dates and names; structs, as a series may have no name.
+    axes = sums.agg(F.collect_set("t").alias("t"),
+                    F.collect_set(F.struct(F.col(series).cast("string").alias("name"))).alias("found"))
+    others = F.sort_array(F.filter(
+        F.transform("found", lambda s: s["name"]),
+        lambda name: name.isNull() | ~F.array_contains(listed, name)))
+    axes = axes.select(F.explode("t").alias("t"), F.concat(listed, others).alias("names"))
+    axes = axes.select("t", F.posexplode("names").alias("ord", series)).select(
+        "t", (F.col("ord") + 1).alias("ord"), series)
+    g, s = axes.alias("g"), sums.alias("s")
+    grid = g.join(s, (F.col("g.t") == F.col("s.t")) & F.col(f"g.{series}").eqNullSafe(
+        F.col(f"s.{series}")), "left").select("g.t", "g.ord", f"g.{series}", "s.y")
 
     line = Window.partitionBy("ord").orderBy("t")
     before = line.rowsBetween(Window.unboundedPreceding, -1)

@@ -30,12 +30,10 @@ def period_counts_long(cases: DataFrame, etiologies: Sequence[str], scale: str =
         {"etiology": F.lit(e), "cases": F.col(e)} for e in etiologies])
 
 
-def _site_order(cases: DataFrame, site_names: Mapping[str, str], limit: int = 1000) -> list[str]:
-    """The sites present, recoded ones first; more than fit as columns are an error."""
+def _site_order(cases: DataFrame, site_names: Mapping[str, str]) -> list[str]:
+    """All sites present, recoded ones first; they become columns, so the driver has to know them."""
     found = [r[0] for r in cases.where(F.col("site_name").isNotNull())
-             .select("site_name").distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} sites; use series_long() instead")
+             .select("site_name").distinct().collect()]
     first = [s for s in site_names if s in found]
     return [*first, *sorted(set(found) - set(first))]
 

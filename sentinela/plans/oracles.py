@@ -410,12 +410,14 @@ ORACLES["period_counts_from_cube"] = f"""with {CASES} select site_type, site_nam
 # --- curve, maps -----------------------------------------------------------------------
 
 ORACLES["epidemic_curve"] = f"""with {CASES},
-long as (select *, case site_department when 'SR' then 'Santa Rosa' when 'QU'
-  then 'Quetzaltenango' else site_department end as dept from cases where site_type = 'hospital'),
+everywhere as (select *, case site_department when 'SR' then 'Santa Rosa' when 'QU'
+  then 'Quetzaltenango' else site_department end as dept from cases),
+long as (select * from everywhere where site_type = 'hospital'),
 hits as ({' union all '.join(
     f"select dept, '{f}' as code, epi_year, epi_week from long where {f}" for f in FLAGS)}),
 counts as (select dept, code, epi_year, epi_week, count(*) as n from hits group by all),
-grid as (select * from (select distinct dept from counts), (select distinct code from counts),
+grid as (select * from (select distinct dept from everywhere),
+  (select l.etiology as code from {LABELS}),
   (select distinct epi_year from counts), (select distinct epi_week from counts))
 select g.dept as site_department, l.label as etiology, l.ord, g.epi_year, g.epi_week,
   coalesce(n, 0) as n

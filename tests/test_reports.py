@@ -503,3 +503,11 @@ def test_ages(spark):
                                "y int, m int, d int")
     age = scalars.approximate_age_days(F.col("y"), F.col("m"), F.col("d"))
     assert [r[0] for r in df.select(age).collect()] == [365, 405, 90, None]
+
+
+def test_curve_has_labels_without_positives_and_departments_of_other_sites(spark):
+    rows = [(1, None, 2017, 3, "hospital", "A", "SR", True, False, True),
+            (2, None, 2017, 3, "clinic", "B", "QU", True, True, True)]
+    got = ask(curve.epidemic_curve(case_rows(spark, rows), LABELS, "hospital")
+              .select("site_department", "etiology", "epi_year", "epi_week", "n"))
+    assert len(got) == 2 * len(LABELS) and sum(r[4] for r in got) == 1

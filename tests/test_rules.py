@@ -194,3 +194,15 @@ def test_text_codes_may_be_stored_as_numbers(spark):
     df = spark.createDataFrame([(1,), (0,), (80,), (None,)], "code int")
     rule = decode(has_result("code", except_codes=("NE", "80")), any_equals("1", "code"))
     assert [r[0] for r in df.select(rule).collect()] == [True, False, None, None]
+
+
+def test_first_seen_of_ties_does_not_depend_on_the_order_of_rows(spark):
+    from sentinela.operators.cases import keep_first_seen
+
+    rows = [("x", 1, flag, n) for flag in (True, False, None) for n in range(5)]
+    chosen = set()
+    for parts in (1, 3, 7):
+        for own in (rows, rows[::-1], rows[7:] + rows[:7]):
+            df = spark.createDataFrame(own, "id string, day int, flag boolean, n int").repartition(parts)
+            chosen.add(tuple(keep_first_seen(df, ["id"], ["day"]).first()))
+    assert len(chosen) == 1

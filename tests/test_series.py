@@ -210,3 +210,11 @@ def test_points_are_required(spark):
         ops.rolling_mean(raw, ["s"], 3)
     weekly = ops.period_points(raw, ["s"], "t", "week", {"y": F.avg("y")})
     assert [tuple(r) for r in weekly.collect()] == [("x", D(2023, 12, 31), 1.0)]
+
+
+def test_stacking_keeps_series_that_the_order_does_not_name(spark):
+    rows = [(D(2020, 1, 1), "a", 1.0), (D(2020, 1, 1), "b", 5.0), (D(2020, 1, 1), None, 2.0)]
+    df = spark.createDataFrame(rows, "t date, s string, y double")
+    got = {r["s"]: (r["ord"], r["y_stacked"]) for r in ops.stacked_series(df, "s", ["b"]).collect()}
+    assert got["b"] == (1, 8.0) and set(got) == {"a", "b", None}
+    assert max(total for _, total in got.values()) == 8.0
