@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sentinela.llm.common import slices
 from sentinela.llm.words import mix, word_hashes, words
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 6000
 BITS = 22
 PREFIXES = (4, 6)             # letters of a word's beginnings
 LEVELS = 3                   # counts of 1, 2 and 4
