@@ -3,8 +3,8 @@
 Vectors are dealt to overlapping cluster shards, a flat graph is built in each (nearest
 candidates and some far ones, pruned so that no kept neighbour hides another), and a vector's
 adjacency lists of all its shards are united. Every vector is then searched for: a greedy
-search from the shard's medoids that, once within range, goes on until all neighbours of
-everything in range are seen. What it finds is verified in double precision. An audit
+search from the shard's medoids and the vector's own place that, once within range, goes on until
+all neighbours of everything in range are seen. What it finds is verified in double precision. An audit
 compares a sample of queries with brute force over all rows.
 
 Equal vectors are one class throughout. Cluster centres are fitted on ``SAMPLE`` classes
@@ -141,7 +141,8 @@ def robust_prune(vectors: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         chosen = candidates[rows, pick]
         kept[some, k] = chosen[some]
         near = 1 - np.einsum("nd,ncd->nc", vectors[chosen], vectors[candidates])
-        alive &= ALPHA * near > distance
+        # Rows of one direction are at no distance, give or take rounding, and hide none.
+        alive &= ALPHA * near + 1e-12 > distance
         alive[rows, pick] = False
         alive &= candidates != chosen[:, None]
     return kept
@@ -186,6 +187,8 @@ def range_search(vectors: np.ndarray, graph: np.ndarray, starts: np.ndarray, que
         asked = vectors[own]
         seen = np.full((len(own), len(vectors)), -2.0)     # likeness of the rows seen
         seen[:, starts] = asked @ vectors[starts].T
+        # A query is a row itself: a group that no path from the medoids enters is seen from inside.
+        seen[np.arange(len(own)), own] = 1.0
         ahead = seen.copy()                                 # of those not looked at yet
         going = np.arange(len(own))
         while len(going):
@@ -240,6 +243,12 @@ def search_shards(members: DataFrame) -> DataFrame:
         vectors, blocks = matrix(group.column("vector")), group.column("block").to_numpy()
         place = {rep: row for row, rep in enumerate(reps.tolist())}
         lists = [[place[r] for r in near or () if r in place] for near in group.column("near").to_pylist()]
+        # Both ways, so that a row that is nobody's nearest is still found.
+        both = [set(near) for near in lists]
+        for row, near in enumerate(lists):
+            for other in near:
+                both[other].add(row)
+        lists = [sorted(near) for near in both]
         graph = np.full((len(reps), max(1, *map(len, lists))), -1)
         for row, near in enumerate(lists):
             graph[row, :len(near)] = near
