@@ -61,6 +61,14 @@ def known_sites(cases: DataFrame, site: Sequence[str], column: str) -> list[str]
     return [r[0] for r in rows]
 
 
+def unknown_sites(cases: DataFrame, sites: Sequence[str],
+                  column: str = "site_name") -> DataFrame:
+    """The given sites that never occur, one row each; the names stay on the cluster."""
+    wanted = cases.sparkSession.range(0, 1, 1, 1).select(
+        F.explode(F.array(*[F.lit(s) for s in sites])).alias(column))
+    return wanted.join(cases.select(column).distinct(), column, "left_anti")
+
+
 def at_sites(cases: DataFrame, site: str | Sequence[str] = "all",
              column: str = "site_name", check: bool = False) -> DataFrame:
     """Keep the given sites, ``"all"`` keeps everything.

@@ -13,7 +13,7 @@ from sentinela.functions.results import any_of
 from sentinela.functions.scalars import (
     count_and_percent, hex_text, site_heading, title_case,
 )
-from sentinela.operators.reshape import pivot_first, unpivot_records
+from sentinela.operators.reshape import listed_only, pivot_first, unpivot_records
 from sentinela.syndromes import ACTIVE_SITES, SOFT_CATCHMENT
 
 # Eligibility flags and the measures shown, in row order.
@@ -26,9 +26,6 @@ MEASURES = {
     "elegibleFebril": "Síndrome febril",
 }
 
-# More sites than this are not spread over columns.
-MOST_COLUMNS = 1000
-
 
 def in_catchment(sites: Sequence[str] = tuple(ACTIVE_SITES),
                  soft: Mapping[str, str] = SOFT_CATCHMENT) -> Column:
@@ -51,7 +48,7 @@ def screening_effort(
     eligibility: DataFrame,
     dates: ReportDates,
     *,
-    consent: str = "pacienteInscrito",
+    consent: str,
     sites: Sequence[str] = tuple(ACTIVE_SITES),
     soft_catchment: Mapping[str, str] = SOFT_CATCHMENT,
 ) -> DataFrame:
@@ -113,16 +110,7 @@ def effort_text(effort: DataFrame) -> DataFrame:
         for i, (measure, title) in enumerate(MEASURES.items(), 1)])
 
 
-def effort_table(effort: DataFrame, headings: Sequence[str] | None = None) -> DataFrame:
-    """Measures as rows and sites as columns.
-
-    Without ``headings`` the site names are read first, one short text per site; more
-    than fit as columns are an error.
-    """
-    long = effort_text(effort)
-    if headings is None:
-        found = long.select("sitio").distinct().limit(MOST_COLUMNS + 1).collect()
-        if len(found) > MOST_COLUMNS:
-            raise ValueError(f"more than {MOST_COLUMNS} sites; use effort_text() instead")
-        headings = sorted(r[0] for r in found)
+def effort_table(effort: DataFrame, headings: Sequence[str]) -> DataFrame:
+    """Measures as rows and the given sites as columns; a site not given fails the query."""
+    long = effort_text(effort).withColumn("sitio", listed_only("sitio", headings))
     return pivot_first(long, ["ord", "grupo"], "sitio", headings, "n").orderBy("ord")

@@ -35,6 +35,26 @@ def join_communities(cases: DataFrame, communities: DataFrame) -> DataFrame:
     return cases.join(right, "community_code", "left")
 
 
+def place_coordinates(locations: DataFrame, communities: DataFrame) -> DataFrame:
+    """Places with a community code and known coordinates; both tables are small beside cases."""
+    known = communities.select(F.col("group").alias("community_code"), "long", "lat").where(
+        F.col("long").isNotNull() & F.col("lat").isNotNull()
+        & ~F.isnan("long") & ~F.isnan("lat"))
+    return locations.where(F.col("community_code").isNotNull()).join(known, "community_code")
+
+
+def locate(cases: DataFrame, locations: DataFrame, communities: DataFrame) -> DataFrame:
+    """Cases with coordinates, once per code of their place; the others are left out.
+
+    The place tables meet first, so the cases are joined only once. An unknown place
+    matches an unknown place.
+    """
+    places = place_coordinates(locations, communities)
+    places = places.withColumnsRenamed({k: f"_{k}" for k in PLACE_KEYS})
+    matches = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in PLACE_KEYS]
+    return cases.join(places, matches).drop(*[f"_{k}" for k in PLACE_KEYS])
+
+
 def case_map_points(
     cases: DataFrame,
     locations: DataFrame,
@@ -50,25 +70,24 @@ def case_map_points(
 ) -> DataFrame:
     """One row per positive result with a known place, over the last months.
 
-    Only cases with some positive result reach the joins; the result columns turn
-    into rows after them. ``keep`` carries extra case columns along.
+    Only cases with some positive result reach the join; the result columns turn
+    into rows after it. ``keep`` carries extra case columns along.
     """
     flags = list(labels)
     require_flags(cases, flags)
     wanted = [department] if isinstance(department, str) else list(department)
+    codes = [code for code, name in department_codes.items() if name in wanted]
     recent = cases.where(
-        F.col("service_date").between(
+        F.col("subject_department").isin(*codes)
+        & F.col("service_date").between(
             F.lit(dates.trailing_start(months)), F.lit(dates.last_friday))
         & any_of(F.col(f) for f in flags))
     recent = recent.withColumn(
-        "department_name", lookup(F.col("subject_department"), department_codes)
-    ).where(F.col("department_name").isin(*wanted))
+        "department_name", lookup(F.col("subject_department"), department_codes))
     columns = ["department_name", "subject_department", "subject_community",
                "community_code", "service_date"]
-    located = join_locations(recent, locations).select(*keep, *columns, *flags)
-    placed = join_communities(located, communities).dropna(
-        subset=["community_code", "long", "lat"])
-    rows = unpivot_flags(placed, flags, [*keep, *columns, "long", "lat"], drop="false")
+    located = locate(recent, locations, communities)
+    rows = unpivot_flags(located, flags, [*keep, *columns, "long", "lat"], drop="false")
     label = lookup(F.col("etiology"), labels)
     return rows.select(
         *keep, *columns, label.alias("etiology"),
@@ -116,6 +135,17 @@ def undetected(points: DataFrame, labels: Mapping[str, str]) -> DataFrame:
     ).select((F.col("ord") + 1).alias("ord"), "etiology")
 
 
+def undetected_by_department(points: DataFrame, labels: Mapping[str, str],
+                             departments: Sequence[str]) -> DataFrame:
+    """All labels of every given department without a single point."""
+    listed = points.sparkSession.range(0, 1, 1, 1).select(
+        F.explode(F.array(*[F.lit(d) for d in departments])).alias("department_name"))
+    names = F.array(*[F.lit(v) for v in labels.values()])
+    return (listed.join(points.select("department_name").distinct(), "department_name", "left_anti")
+            .select("department_name", F.posexplode(names).alias("ord", "etiology"))
+            .withColumn("ord", F.col("ord") + 1))
+
+
 def tile_bins(points: DataFrame, zooms: Sequence[int], by: Sequence[str] = (),
               long: str = "long", lat: str = "lat") -> DataFrame:
     """Points per Web-Mercator tile and zoom, with their mean position.

@@ -38,6 +38,13 @@ def pivot_first(df: DataFrame, keys: Sequence[str], column: str, values: Sequenc
     return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(fill)).alias(v) for v in values])
 
 
+def listed_only(column: str, values: Sequence[str]) -> Column:
+    """The column, failing the query at a value that would not get a heading of its own."""
+    unlisted = F.raise_error(F.concat(
+        F.lit(f"{column} without a heading: "), F.coalesce(F.col(column), F.lit("NULL"))))
+    return F.when(F.col(column).isin(*values), F.col(column)).otherwise(unlisted.cast("string"))
+
+
 def with_groups(df: DataFrame, by: Sequence[str], groups: Sequence[tuple] | None) -> DataFrame:
     """Add a row of NULLs for every listed group, so that it appears even without data.
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sentinela.functions.calendar import floor_date
 from sentinela.functions.scalars import recode
-from sentinela.operators.reshape import pivot_first, require_flags, unpivot_records
+from sentinela.operators.reshape import (
+    listed_only, pivot_first, require_flags, unpivot_records,
+)
 from sentinela.syndromes import SITE_NAMES
 
 
@@ -30,34 +32,24 @@ def period_counts_long(cases: DataFrame, etiologies: Sequence[str], scale: str =
         {"etiology": F.lit(e), "cases": F.col(e)} for e in etiologies])
 
 
-def _site_order(cases: DataFrame, site_names: Mapping[str, str]) -> list[str]:
-    """All sites present, recoded ones first; they become columns, so the driver has to know them."""
-    found = [r[0] for r in cases.where(F.col("site_name").isNotNull())
-             .select("site_name").distinct().collect()]
-    first = [s for s in site_names if s in found]
-    return [*first, *sorted(set(found) - set(first))]
-
-
 def case_timeseries(
     cases: DataFrame,
     *,
     site_type: str,
     etiology: str,
-    sites: Sequence[str] | None = None,
+    sites: Sequence[str],
     scale: str = "month",
     site_names: Mapping[str, str] = SITE_NAMES,
 ) -> DataFrame:
     """One row per period and one column per site; NULL where a site had no case at all.
 
-    ``sites`` gives the column order; without it the site names of the type are read
-    first, the recoded ones in front. A case row only adds to its own site's count; sites
-    become columns afterwards, from one row per site and period.
+    ``sites`` gives the columns and their order; a site of the type that is not given fails
+    the query, so no count is lost (``series_long`` takes any sites). A case row only adds
+    to its own site's count; sites become columns afterwards, from one row per site and period.
     """
-    cases = cases.where(F.col("site_type") == site_type)
-    if sites is None:
-        sites = _site_order(cases, site_names)
     counts = period_counts(
-        cases.where(F.col("site_name").isin(*sites)), [etiology], scale, ("site_name",))
+        cases.where(F.col("site_type") == site_type), [etiology], scale, ("site_name",))
+    counts = counts.withColumn("site_name", listed_only("site_name", sites))
     wide = pivot_first(counts, ["service_date"], "site_name", sites, etiology)
     return (wide.toDF("service_date", *[site_names.get(s, s) for s in sites])
             .orderBy(F.col("service_date").asc_nulls_last()))
@@ -80,6 +72,12 @@ def largest_count(counts: DataFrame, etiologies: Sequence[str]) -> DataFrame:
         F.greatest(*[F.max(e) for e in [etiologies[0], *etiologies]]).alias("max_cases"))
 
 
+def axis_limits(counts: DataFrame, etiologies: Sequence[str]) -> DataFrame:
+    """The largest count and the axis limit one above it, which is 1 without any case."""
+    return largest_count(counts, etiologies).withColumn(
+        "axis_limit", F.coalesce("max_cases", F.lit(0)) + 1)
+
+
 def axis_limit(counts: DataFrame, etiologies: Sequence[str]) -> int:
     """Upper axis limit shared by all charts of a syndrome: the largest count plus one."""
     return (largest_count(counts, etiologies).first()["max_cases"] or 0) + 1

@@ -268,19 +268,44 @@ select {''.join(f's.{k}, ' for k in keys)} s.g as "group", s.etiology, s.label,
 from grid s left join summary r on {on}"""
 
 
+STORED = {"respiratory": (t.RESPIRATORY, RESPI, RESPIRATORY),
+          "diarrheal": (t.DIARRHEAL, DIARREA, DIARRHEAL),
+          "febrile": (t.FEBRILE, FEBRIL, FEBRILE)}
+SPLIT = """case when site_type = 'hospital' then case when emergency and not admitted
+      then 'emergency' else 'admitted' end else 'all' end"""
+
+
+def stored_cases(name: str) -> str:
+    """The line list of a refresh, with the disposition its tables are split by."""
+    view, rules, pack = STORED[name]
+    # The view snapshot ends at last Friday, before the first row per subject is chosen.
+    lines = line_list(name, view, rules).replace(
+        "from raw),", "from raw where PDAInsertDate <= timestamp '2001-07-27'),", 1)
+    disposition = SPLIT if name == "diarrheal" else "'all'"
+    return f"cases as (select *, {disposition} as disposition from ({lines}))"
+
+
+def stored_groups(name: str) -> str:
+    groups = ", ".join(f"('{site}', '{part}')" for site in t.SITES for part in (
+        ("admitted", "emergency") if name == "diarrheal" and site in t.HOSPITALS else ("all",)))
+    return f"grid as (select * from (values {groups}) g(site_name, disposition))"
+
+
+def each_stored(body) -> str:
+    """One query over the line list of every syndrome, one below the other."""
+    return " union all ".join(
+        f"select '{name}' as syndrome, * from (with {stored_cases(name)}, {stored_groups(name)} "
+        f"{body(pack)})" for name, (_, _, pack) in STORED.items())
+
+
 def stored_positivity() -> str:
     """Positivity of the three line lists; only diarrheal hospital cases are split."""
     periods = {"this_month": "service_date between date '2001-07-01' and date '2001-08-01'",
                "last_month": "service_date between date '2001-06-01' and date '2001-07-01'",
                "all_time": "true"}
-    split = """case when site_type = 'hospital' then case when emergency and not admitted
-      then 'emergency' else 'admitted' end else 'all' end"""
-    views = {"respiratory": (t.RESPIRATORY, RESPI, RESPIRATORY),
-             "diarrheal": (t.DIARRHEAL, DIARREA, DIARRHEAL),
-             "febrile": (t.FEBRILE, FEBRIL, FEBRILE)}
-    parts = []
-    for name, (view, rules, pack) in views.items():
-        cells = " union all ".join(
+
+    def cells(pack) -> str:
+        return " union all ".join(
             f"""select site_name, disposition, '{period}' as "group", '{code}' as etiology,
             '{label}' as label, {i} as ord,
             count("{code}") filter (where {inside}) as n_tested,
@@ -289,17 +314,9 @@ def stored_positivity() -> str:
             group by site_name, disposition"""
             for period, inside in periods.items()
             for i, (code, label) in enumerate(pack.table_labels.items(), 1))
-        disposition = split if name == "diarrheal" else "'all'"
-        grid = ", ".join(f"('{site}', '{part}')" for site in t.SITES for part in (
-            ("admitted", "emergency") if name == "diarrheal" and site in t.HOSPITALS else ("all",)))
-        # The view snapshot ends at last Friday, before the first row per subject is chosen.
-        lines = line_list(name, view, rules).replace(
-            "from raw),", "from raw where PDAInsertDate <= timestamp '2001-07-27'),", 1)
-        parts.append(f"""select '{name}' as syndrome, * from (with cases as (
-          select *, {disposition} as disposition from ({lines})),
-          grid as (select * from (values {grid}) g(site_name, disposition)) {cells})""")
+
     return f"""select *, case when n_tested = 0 then 0
-      else round_even(n_positive / n_tested * 100, 0) end::double as percent_positive from ({' union all '.join(parts)})"""
+      else round_even(n_positive / n_tested * 100, 0) end::double as percent_positive from ({each_stored(cells)})"""
 
 
 ORACLES["weekly_refresh"] = stored_positivity()
@@ -324,6 +341,32 @@ select site_name, ord, label as etiologia,
   max(cell) filter (where "group" = 'all_time') as all_time
 from cells group by all"""
 
+ORACLES["refresh_positivity_text"] = f"""with cells as (select *,
+  concat(n_positive, ' / ', n_tested, ' (', cast(percent_positive as bigint), ')') as cell
+  from ({stored_positivity()}))
+select syndrome, site_name, disposition, ord, label as etiologia,
+  max(cell) filter (where "group" = 'this_month') as this_month,
+  max(cell) filter (where "group" = 'last_month') as last_month,
+  max(cell) filter (where "group" = 'all_time') as all_time
+from cells group by all"""
+ORACLES["refresh_monthly"] = each_stored(lambda pack: " union all ".join(
+    f"""select site_type, case site_department when 'SR' then 'Santa Rosa' when 'QU'
+    then 'Quetzaltenango' else site_department end as department, site_name as site,
+    date_trunc('month', service_date)::date as service_date, '{e}' as etiology,
+    count(*) filter (where "{e}") as cases from cases group by all""" for e in pack.labels))
+ORACLES["refresh_corridor_current"] = each_stored(lambda pack: f""",
+counts as (select site_name, disposition, epi_year, epi_week, count(*) as casos from cases
+  group by all),
+ends as (select g.site_name, g.disposition, greatest(52,
+  coalesce(max(epi_week) filter (where epi_year = 2001), 0)) as last
+  from grid g left join counts using (site_name, disposition) group by 1, 2),
+weeks as (select site_name, disposition, cast(unnest(generate_series(1, last)) as int) as epi_week
+  from ends)
+select w.*, casos, case when casos is not null
+  then least(greatest(casos, 0), {pack.ylim})::double end as shown from weeks w
+left join counts c on c.site_name = w.site_name and c.disposition = w.disposition
+  and c.epi_week = w.epi_week and c.epi_year = 2001""").replace(" ,\ncounts", ",\ncounts")
+
 ORACLES["report_roundtrip"] = ORACLES["positivity_by_site"]
 
 # --- corridor --------------------------------------------------------------------------
@@ -407,6 +450,24 @@ ORACLES["period_counts_from_cube"] = f"""with {CASES} select site_type, site_nam
   cast(date_trunc('quarter', service_date) as date) as service_date,
   {', '.join(f'count(*) filter (where {f}) as {f}' for f in FLAGS)} from cases group by 1, 2, 3"""
 
+ORACLES["unknown_sites"] = f"""with {CASES}
+select s as site_name from (values ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'),
+  ('MACHINERY'), ('FURNITUR'), ('Ninguno')) w(s) where s not in (select site_name from cases)"""
+ORACLES["scale_names"] = f"""with {CASES}, starts as (
+  select 'Semana' as scale, service_date - (dayofweek(service_date))::int as period from cases
+  union all select 'Mes', date_trunc('month', service_date)::date from cases
+  union all select 'Trimestre', date_trunc('quarter', service_date)::date from cases
+  union all select 'Año', date_trunc('year', service_date)::date from cases)
+select scale, min(period)::date as first_period, max(period)::date as last_period
+from starts group by 1"""
+ORACLES["report_captions"] = f"""with {CASES}
+select (select count(*) from cases where service_date <= date '2001-07-27') as cases, name, text
+from (values ('history_years', '1995 a 2000'), ('map_dates', '2001-04-27 a 2001-07-27'),
+  ('effort_dates', '2000-07-23 a 2001-07-27'), ('data_until', '2001-07-27'),
+  ('heading_this_month', 'Mes más reciente (julio) (n, %)'),
+  ('heading_last_month', 'Mes anterior (junio) (n, %)'),
+  ('heading_all_time', 'Histórico (n, %)')) w(name, text)"""
+
 # --- curve, maps -----------------------------------------------------------------------
 
 ORACLES["epidemic_curve"] = f"""with {CASES},
@@ -445,7 +506,20 @@ points as (select unique_id, department_name, subject_department, subject_commun
 ORACLES["case_map_points"] = f"with {MAP} select * from points"
 ORACLES["case_map_labels"] = f"""with {MAP} select subject_community, long, lat, count(*) as n
 from points group by all"""
-ORACLES["case_map_undetected"] = "select ord, label as etiology from " + LABELS
+# Found department by department, for the cases of one community each.
+FOUND = f"""{MAP.replace("where department_name in ('Santa Rosa', 'Quetzaltenango')",
+                         "where department_name is not null")},
+found as (select distinct subject_community, department_name from points)"""
+ORACLES["case_map_undetected"] = f"""with {FOUND}
+select d as department_name, l.ord, l.label as etiology
+from (values ('Santa Rosa'), ('Quetzaltenango'), ('Guatemala')) w(d), {LABELS}
+where d not in (select department_name from found where subject_community = 'C9')"""
+ORACLES["case_map_none_found"] = f"""with {FOUND}
+select c as community, l.ord, l.label as etiology from (values ('C9'), ('C3')) w(c), {LABELS}
+where c not in (select subject_community from found
+  where department_name = 'Santa Rosa' and subject_community is not null)"""
+ORACLES["jittered_points"] = f"""with {MAP} select unique_id, etiology, long, lat,
+  true as long_near, true as lat_near, true as independent from points"""
 ORACLES["case_map_bounds"] = """with outline as (select
   case n_regionkey when 0 then 'Guatemala' when 1 then 'Santa Rosa' else 'Quetzaltenango' end
     as region,
@@ -456,6 +530,17 @@ b as (select region, max(lat) as n, min(lat) as s, min(long) as w, max(long) as
 select region, round((n + 0.005)::decimal(30, 12), 6)::double as lat1, round((w)::decimal(30, 12), 6)::double as lng1, round((s - 0.005)::decimal(30, 12), 6)::double as lat2,
   round((e)::decimal(30, 12), 6)::double as lng2, round((n + 0.005 - 0.06)::decimal(30, 12), 6)::double as fit_lat1, round((w + 0.01)::decimal(30, 12), 6)::double as fit_lng1,
   round((s - 0.005 + 0.06)::decimal(30, 12), 6)::double as fit_lat2, round((e - 0.01)::decimal(30, 12), 6)::double as fit_lng2 from b"""
+ORACLES["refresh_map_points"] = each_stored(lambda pack: f""", {PLACES},
+recent as (select *, case subject_department when 6 then 'Santa Rosa'
+  when 9 then 'Quetzaltenango' end as department_name from cases
+  where service_date between date '2001-04-27' and date '2001-07-27'),
+located as (select c.*, p.community_code from recent c join places p on {SAME_PLACE}
+  where department_name is not null),
+long as ({' union all '.join(
+    f"""select unique_id, department_name, community_code, '{label}' as etiology from located
+    where "{e}" """ for e, label in pack.labels.items())})
+select x.*, m.long, m.lat, true as near from long x
+join communities m on m.community_code = x.community_code""")
 JOINED = f"""{CASES}, {PLACES}, located as (select c.*, p.community_code from cases c
   left join places p on {SAME_PLACE})"""
 ORACLES["location_join_nullsafe"] = f"""with {JOINED} select unique_id, subject_department,
@@ -546,6 +631,7 @@ HEADINGS = [f"{d} ({s})" for d in ("Quetzaltenango", "Santa Rosa") for s in t.SI
 ORACLES["screening_effort"] = f"""with {EFFORT_TEXT} select ord, grupo,
   {', '.join(f"max(n) filter (where sitio = '{h}') as " + f'"{h}"' for h in HEADINGS)}
 from texts group by all"""
+ORACLES["refresh_effort_text"] = ORACLES["screening_effort_text"]
 ORACLES["catchment_filter"] = f"""with {EFFORT} select SiteName, NombreMunicipio, catchment,
   count(*) as n from base where {CATCHMENT} group by all"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,10 +82,63 @@ def snapshot_roundtrip(spark, sf):
 @query
 def weekly_refresh(spark, sf):
     """A whole weekly refresh into a new folder, and its stored positivity tables."""
-    stored = refresh.run_refresh(
+    return refresh.stored_positivity(_refreshed(spark, sf))
+
+
+def _refreshed(spark, sf) -> dict[str, DataFrame]:
+    return refresh.run_refresh(
         spark, sample.sample_sources(spark, sf), snapshots.new_folder(spark, "refresh"),
         DATES, sample.SETTINGS)
-    return refresh.stored_positivity(stored)
+
+
+def _each_syndrome(stored: dict[str, DataFrame], table: str,
+                   shape: Callable[[DataFrame, syndromes.Syndrome], DataFrame]) -> DataFrame:
+    """One stored table of all syndromes in a common shape."""
+    return reduce(DataFrame.unionByName, [
+        shape(stored[f"{name}_{table}"], pack).withColumn("syndrome", F.lit(name))
+        for name, pack in syndromes.SYNDROMES.items()])
+
+
+@query
+def refresh_monthly(spark, sf):
+    """Stored monthly positives of all syndromes, by printed names."""
+    return _each_syndrome(_refreshed(spark, sf), "monthly", lambda table, pack:
+        reshape.unpivot_records(table, ["site_type", "department", "site", "service_date"], [
+            {"etiology": F.lit(e), "cases": F.col(e)} for e in pack.labels]))
+
+
+@query
+def refresh_corridor_current(spark, sf):
+    """Stored lines of the year, true and as drawn inside the axis."""
+    def shape(table: DataFrame, pack: syndromes.Syndrome) -> DataFrame:
+        part = F.col("disposition") if pack.has_disposition else F.lit("all")
+        return table.select("site_name", part.alias("disposition"), "epi_week", "casos", "shown")
+
+    return _each_syndrome(_refreshed(spark, sf), "corridor_current", shape)
+
+
+@query
+def refresh_positivity_text(spark, sf):
+    """Stored text cells of the positivity tables."""
+    def shape(table: DataFrame, pack: syndromes.Syndrome) -> DataFrame:
+        part = F.col("disposition") if pack.has_disposition else F.lit("all")
+        return table.withColumn("disposition", part)
+
+    return _each_syndrome(_refreshed(spark, sf), "positivity_text", shape)
+
+
+@query
+def refresh_map_points(spark, sf):
+    """Stored located positives; the shown position is near the true one."""
+    return _each_syndrome(_refreshed(spark, sf), "map_points", lambda table, pack: table.select(
+        "unique_id", "department_name", "community_code", "etiology", "long", "lat",
+        (F.abs(F.col("long_offset") - F.col("long") - 5e-4) < 10 * 5e-4).alias("near")))
+
+
+@query
+def refresh_effort_text(spark, sf):
+    """Stored text cells of the screening effort."""
+    return _refreshed(spark, sf)["screening_effort_text"]
 
 
 # --- calendar --------------------------------------------------------------------------
@@ -214,6 +268,35 @@ def site_membership(spark, sf):
         "unique_id", "site_name")
 
 
+@query
+def unknown_sites(spark, sf):
+    """Requested sites that no case has."""
+    return case_ops.unknown_sites(
+        tables.cases(spark, sf), [*tables.SITES, "FURNITUR", "Ninguno"])
+
+
+@query
+def scale_names(spark, sf):
+    """First and last period of all cases on every time scale, under its axis name."""
+    day = F.col("service_date")
+    rows = reshape.unpivot_records(
+        tables.cases(spark, sf).select("service_date").distinct(), [],
+        [{"scale": F.lit(cal.scale_name(s)), "period": cal.floor_date(day, s)}
+         for s in cal.SCALE_NAMES])
+    return rows.groupBy("scale").agg(
+        F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+
+
+@query
+def report_captions(spark, sf):
+    """The texts of a report, beside the number of cases up to its last day."""
+    texts = refresh.captions(DATES, sample.SETTINGS)
+    total = tables.cases(spark, sf).where(F.col("service_date") <= F.lit(DATES.last_friday)).agg(
+        F.count(F.lit(1)).alias("cases"))
+    return reshape.unpivot_records(total, ["cases"], [
+        {"name": F.lit(name), "text": F.lit(text)} for name, text in texts.items()])
+
+
 @query
 def recoded_sites(spark, sf):
     """Recodes with and without a default, and the order of the recoded values."""
@@ -406,16 +489,38 @@ def case_map_bounds(spark, sf):
 
 @query
 def case_map_undetected(spark, sf):
-    """No case lies in the given department, so all labels are listed."""
+    """Labels of each department without a case in one community's last three months."""
+    cases = tables.cases(spark, sf).where("subject_community = 'C9'")
+    departments = ["Santa Rosa", "Quetzaltenango", "Guatemala"]
     points = maps.case_map_points(
-        tables.cases(spark, sf), _locations(spark, sf), tables.communities(spark, sf),
-        ETIOLOGIES, DATES, department="Petén")
-    return maps.undetected(points, ETIOLOGIES)
+        cases, _locations(spark, sf), tables.communities(spark, sf), ETIOLOGIES, DATES,
+        department=departments, months=tables.MAP_MONTHS)
+    return maps.undetected_by_department(points, ETIOLOGIES, departments)
+
+
+@query
+def case_map_none_found(spark, sf):
+    """All labels if one department has no point at all, by its cases of two communities."""
+    def listed(community: str) -> DataFrame:
+        points = maps.case_map_points(
+            tables.cases(spark, sf).where(F.col("subject_community") == community),
+            _locations(spark, sf), tables.communities(spark, sf), ETIOLOGIES, DATES,
+            department="Santa Rosa", months=tables.MAP_MONTHS)
+        return maps.undetected(points, ETIOLOGIES).select(
+            F.lit(community).alias("community"), "ord", "etiology")
+
+    return listed("C9").unionByName(listed("C3"))
 
 
 @query
 def jittered_points(spark, sf):
-    return maps.jitter(_map_points(spark, sf), ["unique_id", "etiology", "long", "lat"], seed=7)
+    """What is fixed about the noise: it leaves the point in place and is bounded and not nil."""
+    points = maps.jitter(_map_points(spark, sf), ["unique_id", "etiology", "long", "lat"], seed=7)
+    shifts = {c: F.col(f"{c}_offset") - F.col(c) for c in ("long", "lat")}
+    return points.select(
+        "unique_id", "etiology", "long", "lat",
+        *[(F.abs(s - 5e-4) < 10 * 5e-4).alias(f"{c}_near") for c, s in shifts.items()],
+        (shifts["long"] != shifts["lat"]).alias("independent"))
 
 
 @query
@@ -433,9 +538,8 @@ def community_join(spark, sf):
 
 @query
 def tile_bins(spark, sf):
-    located = maps.join_communities(
-        maps.join_locations(tables.cases(spark, sf), _locations(spark, sf)),
-        tables.communities(spark, sf))
+    located = maps.locate(
+        tables.cases(spark, sf), _locations(spark, sf), tables.communities(spark, sf))
     return rounded(maps.tile_bins(located, range(10, 16)), "long", "lat")
 
 
@@ -478,7 +582,8 @@ def _effort(spark, sf) -> DataFrame:
     rows = tables.effort_rows(spark, sf)
     subjects = rows.withColumn("PDAInsertDate", cal.from_epoch(F.col("PDAInsertEpoch")))
     return effort.screening_effort(
-        subjects, rows.where("has_eligibility"), DATES, sites=tables.SITES,
+        subjects, rows.where("has_eligibility"), DATES,
+        consent=sample.SETTINGS.consent, sites=tables.SITES,
         soft_catchment=tables.SOFT_CATCHMENT)
 
 

@@ -11,6 +11,7 @@ from sentinela.plans.refresh import Settings, Sources
 from sentinela.sources import views
 
 SETTINGS = Settings(
+    consent="pacienteInscrito",
     sites=tuple(tables.SITES),
     hospitals=tuple(tables.HOSPITALS),
     soft_catchment=tables.SOFT_CATCHMENT,
@@ -37,15 +38,16 @@ def sample_sources(spark: SparkSession, sf_dir: str) -> Sources:
         "diarrheal": tables.raw_view(spark, sf_dir, tables.DIARRHEAL),
         "febrile": tables.raw_view(spark, sf_dir, tables.FEBRILE),
     }
+    contents = {
+        "sites": tables.read(spark, sf_dir, "nation"),
+        "subject": effort_rows.withColumn("PDAInsertDate", from_epoch(F.col("PDAInsertEpoch"))),
+        "eligibility": effort_rows.where("has_eligibility"),
+        **raw,
+    }
     return Sources(
-        groups={
-            "sites": tables.read(spark, sf_dir, "nation"),
-            "subject": effort_rows.withColumn(
-                "PDAInsertDate", from_epoch(F.col("PDAInsertEpoch"))),
-            "eligibility": effort_rows.where("has_eligibility"),
-            **raw,
-        },
-        syndromes=raw,
+        views=contents,
+        groups={name: name for name in contents},
+        syndromes={name: name for name in raw},
         locations=tables.location_codes(spark, sf_dir),
         communities=tables.communities(spark, sf_dir),
         departments=tables.department_outlines(spark, sf_dir),

@@ -1,7 +1,7 @@
 """Command line of the weekly refresh, for spark-submit.
 
     spark-submit --py-files sentinela.zip sentinela/plans/weekly.py \\
-        --run-date 2018-06-17 --root s3a://bucket/reports \\
+        --run-date 2018-06-17 --root s3a://bucket/reports --consent enrolled \\
         --communities s3a://bucket/geo/communities --departments s3a://bucket/geo/departments
 """
 
@@ -24,8 +24,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--root", required=True, help="folder of the dated snapshots")
     parser.add_argument("--communities", required=True, help="table or path: group, long, lat")
     parser.add_argument("--departments", required=True, help="table or path: region, long, lat")
-    parser.add_argument("--consent", default=Settings.consent, help="enrolment flag column")
-    parser.add_argument("--input-bytes", type=int, help="input size, to size the partitions")
+    parser.add_argument("--consent", required=True, help="enrolment flag column of the subject view")
     parser.add_argument("--export", help="folder for copies of the report tables")
     parser.add_argument("--format", default="csv", choices=["csv", "json", "parquet", "orc"])
     return parser.parse_args(argv)
@@ -33,7 +32,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
 
 def main(argv: Sequence[str] | None = None) -> None:
     options = arguments(argv)
-    spark = tune(SparkSession.builder.appName("weekly-refresh"), options.input_bytes).getOrCreate()
+    spark = tune(SparkSession.builder.appName("weekly-refresh")).getOrCreate()
     stored = run_refresh(
         spark, default_sources(options.communities, options.departments), options.root,
         ReportDates(options.run_date), Settings(consent=options.consent))

@@ -35,20 +35,18 @@ def size_settings(input_bytes: int) -> dict[str, str]:
     return {
         PARTITIONS: str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-        "spark.sql.files.maxPartitionBytes": "256m" if input_bytes > 1024 ** 4 else "128m",
+        "spark.sql.files.maxPartitionBytes": "256m",
     }
 
 
-@contextmanager
-def at_most_partitions(spark: SparkSession, most: int) -> Iterator[None]:
-    """Start shuffles with at most this many partitions, for jobs that shuffle only counts.
+def _starting(spark: SparkSession) -> int:
+    return int(spark.conf.get(PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Every map task writes an entry per partition, which for thousands of partitions and
-    a few counts is more than the counts themselves.
-    """
+
+@contextmanager
+def _partitions(spark: SparkSession, number: int) -> Iterator[None]:
     before = spark.conf.get(PARTITIONS, None)
-    now = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set(PARTITIONS, str(min(now, most)))
+    spark.conf.set(PARTITIONS, str(number))
     try:
         yield
     finally:
@@ -58,6 +56,23 @@ def at_most_partitions(spark: SparkSession, most: int) -> Iterator[None]:
             spark.conf.set(PARTITIONS, before)
 
 
+def partitions_for(spark: SparkSession, stored_bytes: int):
+    """Start shuffles of a table of this stored size with enough partitions for all its rows.
+
+    Stored columns are compressed; rows in a shuffle take about four times as much.
+    """
+    return _partitions(spark, max(_starting(spark), -(-stored_bytes * 4 // TASK_BYTES)))
+
+
+def at_most_partitions(spark: SparkSession, most: int):
+    """Start shuffles with at most this many partitions, for jobs that shuffle only counts.
+
+    Every map task writes an entry per partition, which for thousands of partitions and
+    a few counts is more than the counts themselves.
+    """
+    return _partitions(spark, min(_starting(spark), most))
+
+
 def tune(builder: SparkSession.Builder, input_bytes: int | None = None) -> SparkSession.Builder:
     """Add the settings to a session builder; ``input_bytes`` also sizes the partitions."""
     sized = {} if input_bytes is None else size_settings(input_bytes)

@@ -53,6 +53,12 @@ class Snapshots:
         """Whether a write of this table has finished."""
         return _exists(self.spark, f"{self.path(name)}/_SUCCESS")
 
+    def bytes(self, name: str) -> int:
+        """Stored size of a table."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files.getContentSummary(target).getLength()
+
     def write(self, name: str, table: DataFrame) -> None:
         """Store a table. A finished one is never replaced, the rest of a lost job is."""
         if self.complete(name):

@@ -85,7 +85,7 @@ SYNDROME_VIEWS = {
 }
 
 
-def group_columns(consent: str = "pacienteInscrito") -> dict[str, list[str]]:
+def group_columns(consent: str) -> dict[str, list[str]]:
     """Columns of every data group; ``consent`` names the view's enrolment flag."""
     return {
         "sites": SITE_COLUMNS,
@@ -151,6 +151,13 @@ def query_view(df: DataFrame, columns: Sequence[str] | None, max_date: dt.date,
     return select_columns(df.where(F.col(date_column) <= F.lit(max_date)), columns)
 
 
+def wanted_columns(lists: Sequence[Sequence[str] | None]) -> list[str] | None:
+    """Columns that serve all readers of a view; None, for whatever it has, if one asks for that."""
+    if any(columns is None for columns in lists):
+        return None
+    return list(dict.fromkeys(c for columns in lists for c in columns))
+
+
 def read_locations(df: DataFrame) -> DataFrame:
     """Place codes of the communities, under the names the case line list uses."""
     return df.select(*[F.col(old).alias(new) for old, new in LOCATION_COLUMNS.items()])

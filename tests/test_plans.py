@@ -7,11 +7,12 @@ import __spark_entry__ as entry_module
 from sentinela.functions.calendar import from_epoch
 from sentinela.operators import effort, maps
 from sentinela.plans import queries, tables
-from sentinela.session import PARTITIONS, at_most_partitions, size_settings
+from sentinela.session import PARTITIONS, at_most_partitions, partitions_for, size_settings
 
 SF = "/root/testdata/sf0.001"
 # The refresh writes files; its parts are checked one by one.
-LAZY = sorted(set(entry_module.queries()) - {"weekly_refresh", "snapshot_roundtrip", "report_roundtrip"})
+LAZY = sorted(n for n in entry_module.queries() if not n.startswith("refresh_")
+              and n not in ("weekly_refresh", "snapshot_roundtrip", "report_roundtrip"))
 
 
 def plan_of(df):
@@ -57,13 +58,29 @@ def test_report_dates_reach_the_scan_of_stored_tables(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "effort"))
     stored = spark.read.parquet(str(tmp_path / "effort"))
     plan = plan_of(effort.screening_effort(
-        stored, stored, tables.DATES, sites=tables.SITES, soft_catchment=tables.SOFT_CATCHMENT))
+        stored, stored, tables.DATES, consent="pacienteInscrito", sites=tables.SITES, soft_catchment=tables.SOFT_CATCHMENT))
     assert "GreaterThanOrEqual(PDAInsertDate,2000-07-23" in plan
     tables.cases(spark, SF).write.parquet(str(tmp_path / "cases"))
     points = maps.case_map_points(
         spark.read.parquet(str(tmp_path / "cases")), queries.location_codes(spark, SF),
         tables.communities(spark, SF), tables.ETIOLOGIES, tables.DATES, department="Santa Rosa")
-    assert "GreaterThanOrEqual(service_date,2000-07-27)" in plan_of(points)
+    plan = plan_of(points)
+    assert "GreaterThanOrEqual(service_date,2000-07-27)" in plan
+    assert "EqualTo(subject_department,6)" in plan or "In(subject_department, [6])" in plan
+
+
+def test_map_joins_the_cases_once(spark, no_broadcast, tmp_path):
+    """The place tables meet first; the cases are shuffled once and only for an inner join."""
+    tables.cases(spark, SF).write.parquet(str(tmp_path / "cases"))
+    for name, table in (("codes", queries.location_codes(spark, SF)),
+                        ("communities", tables.communities(spark, SF))):
+        table.write.parquet(str(tmp_path / name))
+    read = [spark.read.parquet(str(tmp_path / n)) for n in ("cases", "codes", "communities")]
+    plan = plan_of(maps.case_map_points(
+        *read, tables.ETIOLOGIES, tables.DATES, department="Santa Rosa"))
+    assert "LeftOuter" not in plan and plan.count("SortMergeJoin") == 2
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert plan.count("unique_id") == 0     # pruned; the cases' columns are carried only once
 
 
 def test_counts_read_only_their_columns(spark):
@@ -95,6 +112,8 @@ def test_series_windows_only_see_aggregated_points(spark):
 
 def test_partitions_grow_with_the_input(spark):
     small, large = size_settings(10 ** 9), size_settings(100 * 10 ** 12)
+    with partitions_for(spark, 20 * 10 ** 12):
+        assert 70_000 < int(spark.conf.get(PARTITIONS)) < 80_000
     assert small[PARTITIONS] == "200" and 20_000 < int(large[PARTITIONS]) < 30_000
     with at_most_partitions(spark, 3):
         assert spark.conf.get(PARTITIONS) == "3"

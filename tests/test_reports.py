@@ -311,7 +311,11 @@ def test_timeseries_null_without_cases_zero_without_results(spark):
             (4, D(2018, 6, 10), 2018, 1, "hospital", "otro", "SR", True, None, True),
             (5, D(2018, 6, 9), 2018, 1, "centro de salud", "CS-NSR", "SR", True, True, True)]
     df = case_rows(spark, rows)
-    wide = timeseries.case_timeseries(df, site_type="hospital", etiology="flu")
+    sites = ["H-Cuilapa", "H-Xela", "otro"]
+    wide = timeseries.case_timeseries(df, site_type="hospital", etiology="flu", sites=sites)
+    with pytest.raises(Exception, match="without a heading: otro"):
+        timeseries.case_timeseries(
+            df, site_type="hospital", etiology="flu", sites=sites[:2]).collect()
     assert wide.columns == [
         "service_date", "Hospital de Cuilapa", "Hospital de Quetzaltenango", "otro"]
     assert ask(wide) == [(D(2018, 5, 1), None, 0, None), (D(2018, 6, 1), 1, None, 1)]
@@ -382,6 +386,12 @@ def test_undetected_lists_all_labels_only_if_nothing_was_found(spark):
         (1, "Influenza"), (2, "RSV")]
 
 
+def test_undetected_by_department(spark):
+    found = maps.undetected_by_department(
+        points(spark, ["Santa Rosa", "Guatemala"]), LABELS, ["Guatemala", "Santa Rosa"])
+    assert sorted(ask(found)) == [("Guatemala", 1, "Influenza"), ("Guatemala", 2, "RSV")]
+
+
 def test_jitter_is_repeatable_independent_and_shaped(spark):
     base = spark.range(20000).selectExpr("id", "cast(id as double) as long", "1.0D as lat")
     moved = maps.jitter(base, ["id"], seed=3)
@@ -459,13 +469,15 @@ def test_effort_against_row_by_row(spark):
     eligible = [(ids[0], 1, 0, 0), (ids[0], 0, 0, 0), (ids[1], None, 1, 0), (ids[2], None, 0, 0),
                 (ids[3], 1, 1, 1), (ids[3], 1, 1, 1), (ids[6], 1, 0, None)]
     totals = effort.screening_effort(
-        spark.createDataFrame(subjects, SUBJECT), spark.createDataFrame(eligible, ELIGIBLE), DATES)
+        spark.createDataFrame(subjects, SUBJECT), spark.createDataFrame(eligible, ELIGIBLE), DATES,
+        consent="pacienteInscrito")
     got = {(r["department"], r["site"]): tuple(r)[2:] for r in totals.collect()}
     assert got == brute_effort(subjects, eligible, ["CS-NSR", "H-Cuilapa", "H-Xela", "CS-SM"])
 
     clean = [s for s in subjects if s[7] is not None and s[0] in (ids[0], ids[3])]
     totals = effort.screening_effort(
-        spark.createDataFrame(clean, SUBJECT), spark.createDataFrame(eligible, ELIGIBLE), DATES)
+        spark.createDataFrame(clean, SUBJECT), spark.createDataFrame(eligible, ELIGIBLE), DATES,
+        consent="pacienteInscrito")
     got = {(r["department"], r["site"]): tuple(r)[2:] for r in totals.collect()}
     assert got == brute_effort(clean, eligible, ["H-Xela", "CS-SM"])
     assert any(v is not None and v > 0 for row in got.values() for v in row[1:])
@@ -476,7 +488,10 @@ def test_effort_table(spark):
         [("Santa Rosa", "H", 8, 2, 1, 0, 2), ("Santa Rosa", "C", 3, 0, 0, 0, None)],
         "department string, site string, screened long, enrolled long, elegibleRespira long, "
         "elegibleDiarrea long, elegibleFebril long")
-    table = effort.effort_table(totals)
+    headings = ["Santa Rosa (C)", "Santa Rosa (H)"]
+    table = effort.effort_table(totals, headings)
+    with pytest.raises(Exception, match="without a heading"):
+        effort.effort_table(totals, headings[:1]).collect()
     assert table.columns == ["ord", "grupo", "Santa Rosa (C)", "Santa Rosa (H)"]
     assert [tuple(r)[1:] for r in table.collect()] == [
         ("Tamizados", "3", "8"), ("Elegibles e inscritos", "0 (0%)", "2 (25%)"),

@@ -141,11 +141,12 @@ def test_refresh_resumes_without_reading_the_sources(spark, folder):
     # Lose one table: only that one is built again, and nothing else is touched.
     week = f"{folder}/as_of={tables.DATES.last_friday}"
     os.remove(f"{week}/diarrheal_corridor_range/_SUCCESS")
-    before = {n: os.path.getmtime(f"{week}/{n}/_SUCCESS") for n in first
+    before = {n: os.path.getmtime(f"{week}/{n}/_SUCCESS") for n in os.listdir(week)
               if n != "diarrheal_corridor_range"}
+    assert set(before) <= set(first)
     gone = refresh.Sources(
-        groups={g: "no_such_table" for g in sources.groups},
-        syndromes={s: "no_such_table" for s in sources.syndromes},
+        views={v: "no_such_table" for v in sources.views},
+        groups=sources.groups, syndromes=sources.syndromes,
         locations="no_such_table", communities=sources.communities,
         departments="no_such_table")
     again = refresh.run_refresh(spark, gone, folder, tables.DATES, sample.SETTINGS)
@@ -188,6 +189,19 @@ def test_refresh_of_catalog_views(spark, folder):
         previous_years=tables.PREVIOUS_YEARS)
     stored = refresh.run_refresh(spark, sources, folder, tables.DATES, settings)
     assert set(stored["group_subject"].columns) == set(views.group_columns("inscrito")["subject"])
+    # One stored table, and so one scan, per view; the view no report needs is not read.
+    assert {n for n in os.listdir(f"{folder}/as_of=2001-07-27") if n.startswith("source_")} == {
+        f"source_Clinicos.Basica_{v}" for v in ("Respira", "Diarrea", "Febril")}
+    points = stored["respiratory_map_points"]
+    assert {"unique_id", "long_offset", "lat_offset"} <= set(points.columns)
+    shown = stored["febrile_corridor_polygons"]
+    assert shown.where("shown > 30 or shown < 0").count() == 0
+    monthly = stored["diarrheal_monthly"]
+    assert {"site", "department"} <= set(monthly.columns)
+    limits = stored["diarrheal_axis"].first()
+    assert limits["axis_limit"] == limits["max_cases"] + 1
+    assert stored["febrile_positivity_text"].count() * 3 == stored["febrile_positivity"].count()
+    assert stored["captions"].count() == 7
     assert set(stored["view_diarrheal"].columns) == set(views.SYNDROME_VIEWS["diarrheal"][1])
     positivity = refresh.stored_positivity(stored)
     found = as_rows(positivity.columns, positivity.collect())
@@ -201,8 +215,9 @@ def test_refresh_of_catalog_views(spark, folder):
 
 def test_command_line():
     options = weekly.arguments([
-        "--run-date", "2018-06-17", "--root", "r", "--communities", "a/c", "--departments", "a/d"])
-    assert options.run_date == D(2018, 6, 17) and options.consent == "pacienteInscrito"
+        "--run-date", "2018-06-17", "--root", "r", "--communities", "a/c", "--departments", "a/d",
+        "--consent", "inscrito"])
+    assert options.run_date == D(2018, 6, 17) and options.consent == "inscrito"
 
 
 def test_command_line_runs_even_without_a_single_case(spark, folder):
@@ -216,7 +231,9 @@ def test_command_line_runs_even_without_a_single_case(spark, folder):
         "--communities", f"{folder}/communities", "--departments", f"{folder}/departments",
         "--export", f"{folder}/export", "--format", "parquet"])
     week = f"{folder}/root/as_of=2001-07-27"
-    assert spark.read.parquet(f"{week}/view_febrile").count() > 0
+    assert spark.read.parquet(f"{week}/source_Clinicos.Basica_Febril").count() > 0
+    assert spark.read.parquet(f"{week}/respiratory_unknown_sites").count() == 6
+    assert spark.read.parquet(f"{week}/febrile_map_undetected").count() > 0
     for name in ("cases", "daily", "corridor_polygons", "map_points"):
         assert spark.read.parquet(f"{week}/respiratory_{name}").count() == 0
     zeros = spark.read.parquet(f"{week}/diarrheal_positivity")
@@ -224,4 +241,4 @@ def test_command_line_runs_even_without_a_single_case(spark, folder):
     weeks = spark.read.parquet(f"{week}/diarrheal_corridor_current")
     assert weeks.count() == 6 * 52 and weeks.where("casos is not null").count() == 0
     assert spark.read.parquet(f"{folder}/export/map_bounds").count() == 3
-    assert spark.read.parquet(f"{folder}/export/diarrheal_axis").first()["max_cases"] is None
+    assert spark.read.parquet(f"{folder}/export/diarrheal_axis").first()["axis_limit"] == 1
