@@ -9,8 +9,8 @@ The windows of all documents are dealt to suffix-array shards so that equal wind
 1. A window's anchor is its leftmost least ``GRAM``-byte string by hash. Consecutive windows
    with the same anchor place form a piece. Equal windows have equal anchors, so they
    lie in pieces of one anchor. Anchors met once need no further look.
-2. Equal pieces are counted together, in each task and again behind the shuffle; all but the
-   first repeat it wholly. Anchors left with two or more different pieces are requested from
+2. Equal pieces are counted together, in each task and again behind the shuffle; those that
+   start later than the first repeat it wholly. Anchors left with two or more different pieces are requested from
    their documents and go to the shard of their anchor.
 3. A shard sorts its pieces' suffixes by induction and computes permuted common prefixes;
    neighbours that share a window's length form a group of equal windows, and all of a
@@ -24,8 +24,8 @@ an anchor is a whole window.
 
 Hashes of equal pieces have 64 bits beside the anchor's 64 and the length.
 
-Edge cases: a null or empty text has no bytes; rows equal in id and text have equal results; rows
-that share an id otherwise are ordered by place alone; rows with a null id come after all
+Edge cases: a null or empty text has no bytes; rows equal in id and text, also of null id, have
+equal results and don't repeat each other; rows that share an id otherwise are ordered by place alone; rows with a null id come after all
 others.
 """
 
@@ -91,13 +91,23 @@ def text_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def split_classes(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first run of each class of equal pieces, sorted by anchor; the rest of the runs)."""
-    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["length"], runs["hash"],
+    """(runs of the first place of each class of equal pieces, sorted by anchor; those that start later).
+
+    Repeated rows are one run. Texts that share an id may share the first place: all are kept.
+    """
+    runs = runs[np.lexsort((runs["text"], runs["start"], runs["doc"], runs["length"], runs["hash"],
                             runs["anchor"]))]
     same = np.zeros(len(runs), bool)
     same[1:] = ((runs["anchor"][1:] == runs["anchor"][:-1]) & (runs["hash"][1:] == runs["hash"][:-1])
                 & (runs["length"][1:] == runs["length"][:-1]))
-    return runs[~same], runs[same]
+    own = np.flatnonzero(same)
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(runs))))[own]
+    later, again = np.zeros(len(runs), bool), np.zeros(len(runs), bool)
+    later[own] = ((runs["doc"][own] != runs["doc"][first])
+                  | (runs["start"][own] != runs["start"][first]))
+    again[own] = ((runs["doc"][own] == runs["doc"][own - 1]) & (runs["start"][own] == runs["start"][own - 1])
+                  & (runs["text"][own] == runs["text"][own - 1]))
+    return runs[~same | ~later & ~again], runs[later & ~again]
 
 
 def _with_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -187,6 +197,8 @@ def judge_runs(gathered: DataFrame, buckets: int) -> DataFrame:
         anchors = runs["anchor"][order]
         twice = anchors[1:] == anchors[:-1]
         runs = runs[order[np.append(twice, False) | np.append(False, twice)]]
+        if not len(runs):
+            return
         first, copies = split_classes(runs)
         twice = first["anchor"][1:] == first["anchor"][:-1]
         yield rows(copies, False)
@@ -281,7 +293,7 @@ def split_hot(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
             "doc", "text_hash", "start", F.length("body").cast("long").alias("length"))
         copies = again if copies is None else copies.union(again)
         kept = marked.where("is_first").join(several.where("kinds > 1"), "anchor").select(
-            *_PIECE.names).dropDuplicates(["anchor", "doc", "start"])
+            *_PIECE.names).dropDuplicates(["anchor", "doc", "text_hash", "start"])
         pieces = stored(kept, "suffix-pieces")
 
 

@@ -111,6 +111,37 @@ def test_suffix_dedup(docs, none, hot, monkeypatch):
         assert texts[1].text == BASE and 2 not in texts and texts[7].text is None
 
 
+@pytest.mark.parametrize("hot", [None, 300])
+def test_suffix_dedup_of_repeated_rows(spark, hot, monkeypatch):
+    """Rows equal in id and text, or of null id and equal text, start at the same place."""
+    if hot:
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    one, two, three = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, one), (1, one), (2, two + one), (3, three), (3, three + two), (3, three + prose(34, 60)),
+            (5, prose(35, 40) + three), (None, prose(36, 60)), (None, prose(36, 60)), (None, two), (None, two)]
+    first = {}
+    for doc, text in rows:
+        data = text.encode()
+        for s in range(len(data) - 99):
+            place = (doc is None, doc or 0, s)
+            first[data[s:s + 100]] = min(place, first.get(data[s:s + 100], place))
+    want = []
+    for doc, text in rows:
+        data, covered = text.encode(), bytearray(len(text.encode()))
+        for s in range(len(data) - 99):
+            if first[data[s:s + 100]] != (doc is None, doc or 0, s):
+                covered[s:s + 100] = b"\1" * 100
+        want.append((doc or 0, bytes(b for b, c in zip(data, covered) if not c)))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):        # repeated rows in one task and in several
+        got = suffix_dedup.remove_repeats(made.repartition(parts)).collect()
+        assert sorted((r.doc_id or 0, bytes(r.kept)) for r in got) == sorted(want)
+    kept = Counter(r.doc_id for r in suffix_dedup.drop_repeats(made).collect())
+    assert kept[1] == 2 and kept[None] == 2
+    alone = suffix_dedup.remove_repeats(spark.createDataFrame([(1, one)], made.schema)).collect()
+    assert [bytes(r.kept) for r in alone] == [one.encode()]
+
+
 def test_near_groups(docs, none):
     sets = {}
     for doc, text in TEXTS:
