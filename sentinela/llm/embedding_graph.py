@@ -8,7 +8,10 @@ all neighbours of everything in range are seen. What it finds is verified in dou
 compares a sample of queries with brute force over all rows.
 
 Equal vectors are one class throughout. Cluster centres are fitted on ``SAMPLE`` classes
-chosen by hash; everything else covers all rows. A shard of more than ``MOST`` classes is
+chosen by hash; everything else covers all rows. Centres of cosine ``DENSE_COSINE`` form one
+shard, and a class goes to its ``OVERLAP`` nearest shards and to all centres whose angle is within
+that of the nearest one, or of ``DENSE_COSINE`` if that is less, plus that of a link. So any two
+linked classes share a shard if one of them is that near to a centre. A shard of more than ``MOST`` classes is
 worked off in pairs of blocks, so no task holds more than two blocks. A pair is counted in one
 group only: its smallest common shard, in the group of its two blocks.
 
@@ -34,6 +37,7 @@ SAMPLE = 20_000             # classes that the centres are fitted on
 SHARD = 400                 # classes per centre aimed at; each class goes to several
 MOST_CENTRES = 2048
 OVERLAP = 3
+DENSE_COSINE = 0.9          # centres this near form one shard; classes this near are dealt by angle
 MOST = 1500                 # classes of a block
 CANDIDATES, FAR, DEGREE, ALPHA = 40, 16, 24, 1.2
 MEDOIDS, BEAM, QUERIES = 24, 12, 128
@@ -89,8 +93,29 @@ def fit_centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def joined_centres(centres: np.ndarray) -> np.ndarray:
+    """For each centre, the first of all that steps between centres of ``DENSE_COSINE`` lead to."""
+    near = centres @ centres.T >= DENSE_COSINE
+    first = np.arange(len(centres))
+    while True:
+        least = np.minimum(first, np.where(near, first, len(first)).min(1))
+        if (least == first).all():
+            return first
+        first = least
+
+
+def shards_near(vector: np.ndarray, centres: np.ndarray, first: np.ndarray) -> list[int]:
+    """The ``OVERLAP`` nearest shards and those of all centres within the class's angle."""
+    likeness = centres @ vector
+    ordered = first[np.argsort(-likeness, kind="stable")]
+    places = np.sort(np.unique(ordered, return_index=True)[1])[:OVERLAP]
+    # Of two linked classes, the one nearer to its centre has the other within the link's angle more.
+    angle = np.arccos(np.clip(likeness.max(), DENSE_COSINE, 1)) + np.arccos(LEAST_COSINE)
+    return sorted({*ordered[places].tolist(), *first[likeness >= np.cos(angle) - 1e-9].tolist()})
+
+
 def shards_of(classes: DataFrame, count: int) -> DataFrame:
-    """(shard, rep, weight, vector, shards): each class in the shards of its nearest centres."""
+    """(rep, weight, vector, shards): each class in the shards of its nearest centres."""
     width = F.octet_length("vector").alias("width")
     sample = classes.select("vector", width).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
     by_width: dict[int, list[bytes]] = {}
@@ -101,7 +126,7 @@ def shards_of(classes: DataFrame, count: int) -> DataFrame:
     for size in sorted(by_width):
         rows = np.frombuffer(b"".join(by_width[size])).reshape(-1, size // 8)
         own = fit_centres(rows, max(1, round(wanted * len(rows) / len(sample))))
-        centres[size] = (first, own)
+        centres[size] = (first, own, joined_centres(own))
         first += len(own)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +134,9 @@ def shards_of(classes: DataFrame, count: int) -> DataFrame:
             shards = []
             for vector in batch.column("vector").to_pylist():
                 # Lengths that the sample lacks have a shard of their own, below zero.
-                begin, own = centres.get(len(vector), (-len(vector), None))
-                near = ([0] if own is None else
-                        np.argsort(-(own @ np.frombuffer(vector)), kind="stable")[:OVERLAP])
-                shards.append(sorted(begin + int(c) for c in near))
+                begin, own, joined = centres.get(len(vector), (-len(vector), None, None))
+                near = [0] if own is None else shards_near(np.frombuffer(vector), own, joined)
+                shards.append([begin + c for c in near])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(shards, pa.list_(pa.int32()))],
                 [*batch.schema.names, "shards"])
@@ -252,31 +276,35 @@ def search_shards(members: DataFrame) -> DataFrame:
         graph = np.full((len(reps), max(1, *map(len, lists))), -1)
         for row, near in enumerate(lists):
             graph[row, :len(near)] = near
-        shards = [set(s) for s in group.column("shards").to_pylist()]
         shard, ends = group.column("shard")[0].as_py(), {group.column(c)[0].as_py() for c in "ij"}
-        pairs = set()
+        # A pair counts in its first common shard: marks of the shards before this one.
+        own = group.column("shards").to_pylist()
+        before = {s: k for k, s in enumerate(sorted({s for row in own for s in row if s < shard}))}
+        marks = np.zeros((len(reps), len(before)), np.float32)
+        for row, shards in enumerate(own):
+            marks[row, [before[s] for s in shards if s < shard]] = 1
+        hit = np.zeros((len(reps), len(reps)), bool)
         for row, near in enumerate(range_search(vectors, graph, medoids(vectors), np.arange(len(reps)))):
-            for other in near.tolist():
-                if other != row:
-                    pairs.add((min(row, other), max(row, other)))
-        links, root = np.zeros(len(reps), np.int64), list(range(len(reps)))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for a, b in sorted(pairs):
-            if (min(shards[a] & shards[b]) == shard and {blocks[a], blocks[b]} == ends
-                    and float(vectors[a] @ vectors[b]) >= LEAST_COSINE):
-                links[a] += weights[b]
-                links[b] += weights[a]
-                a, b = top(a), top(b)
-                root[max(a, b)] = min(a, b)
+            hit[row, near] = hit[near, row] = True
+        links, root = np.zeros(len(reps), np.int64), np.arange(len(reps))
+        for a in range(len(reps)):
+            near = a + 1 + np.flatnonzero(hit[a, a + 1:])
+            if len(ends) > 1:
+                near = near[blocks[near] != blocks[a]]
+            elif blocks[a] not in ends:
+                continue
+            near = near[~(marks[near] @ marks[a]).astype(bool)]
+            near = near[vectors[near] @ vectors[a] >= LEAST_COSINE]
+            if len(near):
+                links[a] += weights[near].sum()
+                links[near] += weights[a]
+                joined = np.unique(root[np.append(near, a)])
+                if len(joined) > 1:
+                    root[np.isin(root, joined)] = joined[0]
         linked = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays(
-            [pa.array(reps[linked]), pa.array(links[linked]),
-             pa.array([reps[top(x)] for x in linked.tolist()], pa.int64())], ["rep", "links", "root"])
+            [pa.array(reps[linked]), pa.array(links[linked]), pa.array(reps[root[linked]])],
+            ["rep", "links", "root"])
 
     return _grouped(members, searched, "rep long, links long, root long")
 

@@ -295,6 +295,40 @@ def test_embeddings(spark):
     assert embedding_graph.near_vectors(empty).count() == 0
 
 
+def group_vectors(seed, size, rest):
+    """Unit vectors, the first ``size`` of them different ones around one direction."""
+    pick = np.random.default_rng(seed)
+    rows = pick.normal(size=(size + rest, 64))
+    rows[:size] = rows[0] / np.linalg.norm(rows[0]) + rows[:size] * 0.022
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+def test_linked_vectors_share_a_shard():
+    """A group of 10,000 different vectors among 30,000, which draws many centres."""
+    rows = group_vectors(11, 10_000, 20_000)
+    pick = np.random.default_rng(12)
+    centres = embedding_graph.fit_centres(rows[pick.permutation(len(rows))[:embedding_graph.SAMPLE]],
+                                          len(rows) // embedding_graph.SHARD)
+    first = embedding_graph.joined_centres(centres)
+    dealt = [set(embedding_graph.shards_near(row, centres, first)) for row in rows[:10_000]]
+    assert np.mean([len(d) for d in dealt]) < 5
+    some = pick.integers(0, 10_000, (200_000, 2))
+    due = [(a, b) for a, b in some[np.einsum("nd,nd->n", rows[some[:, 0]], rows[some[:, 1]])
+                                   >= embedding_graph.LEAST_COSINE].tolist()]
+    assert len(due) > 50_000 and all(dealt[a] & dealt[b] for a, b in due)
+
+
+def test_links_of_a_large_group(spark, monkeypatch):
+    """All links of a group that has many centres and several blocks."""
+    monkeypatch.setattr(embedding_graph, "SHARD", 10)
+    monkeypatch.setattr(embedding_graph, "MOST", 150)
+    rows = group_vectors(13, 400, 400)
+    links = (rows @ rows.T >= embedding_graph.LEAST_COSINE).sum(1) - 1
+    got = by_id(embedding_graph.near_vectors(spark.createDataFrame(
+        list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")))
+    assert [got[k].n_links for k in range(800)] == links.tolist() and links.max() > 100
+
+
 def test_licenses(spark, docs, none):
     found = licenses.scan_licenses(docs).collect()
     assert [(r.doc_id, r.license, r.start_word) for r in found] == [(20, "MIT", 40)]
