@@ -4,9 +4,9 @@ A document's set is that of its word shingles; its signature has ``SYMBOLS`` min
 ``BITS`` bits. Signatures are compared by the number of symbols that differ. They are
 split into chunks; if two differ in at most ``REACH`` symbols, then by the pigeonhole
 principle some chunk differs in at most ``ERRORS`` of them. The keys of a chunk list
-all ways to leave out that many symbols, so every pair within reach shares a key. With 40
-symbols and a reach of 19 a pair of similarity 0.75 is out of reach once in some 3,000
-cases, one of 0.8 never in practice. Pairs within reach are confirmed on whole shingle sets.
+all ways to leave out that many symbols, so every pair within reach shares a key. With 64
+symbols and a reach of 31 a pair of similarity 0.75 is out of reach once in some 69,000
+cases, one of 0.8 once in some 12 million. Pairs within reach are confirmed on whole shingle sets.
 
 Documents with equal sets are one class before anything is compared. Classes that share a key
 are not paired all with all:
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sentinela.llm.common import components, in_blocks, key_runs, maybe_among, slices, stored
 from sentinela.llm.words import mix, shingle_hashes, shingle_sets, word_hashes, words
 
-SYMBOLS, BITS, CHUNKS, ERRORS = 40, 16, 10, 1
+SYMBOLS, BITS, CHUNKS, ERRORS = 64, 16, 16, 1
 CHUNK = SYMBOLS // CHUNKS
 REACH = CHUNKS * (ERRORS + 1) - 1
 SHINGLE = 5

@@ -184,6 +184,17 @@ def test_near_family_in_small_blocks(spark, monkeypatch):
     assert {k: r.component_id for k, r in got.items()} == group and len(set(group.values())) > 1
 
 
+def test_pairs_at_the_threshold_are_within_reach():
+    """Pairs of exactly 75 per cent, 12 of 16 shingles, meet and pass the filter of signatures."""
+    runs = np.random.default_rng(21).integers(0, 1 << 64, (12_000, 16), dtype=np.uint64)
+    sides = np.stack([runs[:, :14], np.delete(runs, [12, 13], axis=1)], 1)
+    symbols = hamming_dedup.signatures(sides.ravel(), np.arange(24_001) * 14).reshape(12_000, 2, -1)
+    differ = symbols[:, 0] != symbols[:, 1]
+    assert (differ.sum(1) <= hamming_dedup.REACH).all()
+    chunks = differ.reshape(-1, hamming_dedup.CHUNKS, hamming_dedup.CHUNK)
+    assert (chunks.sum(2) <= hamming_dedup.ERRORS).any(1).all()
+
+
 def test_secrets(docs, none):
     base = {"assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"""
                       r"""[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
