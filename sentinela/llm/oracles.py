@@ -128,3 +128,59 @@ select doc_id, n_words, word_chars, n_symbols, n_repeat_words, base_failed,
         <= {RULES.most_removed_percent} * coalesce(line_chars, 0) as kept
 from base
 """
+
+# The checksum of an id is CRC-32 of its decimal digits, bit by bit.
+ORACLES["op12_trie"] = """
+with turns as (
+    select conv_id as c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t, row_number() over (
+        partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+    from conversations where conv_id is not null
+), own as (
+    select c, list(t order by pos) as l, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(
+        string_split(cast(c as varchar), ''), lambda s: cast(ascii(s) as bigint))), lambda a, b: list_reduce(
+        list_prepend(xor(a, b), range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384)
+            else x >> 1 end)), 4294967295) % 6 as h from turns group by c
+), rebuilt as (
+    select o.c, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) as l
+    from own o left join own b on b.c = o.c - o.c % 100
+), steps as (select c, l, unnest(range(0, len(l) + 1)) as depth from rebuilt
+), nodes as (
+    select depth, l[1:depth] as path, min(c) as conv_id, count(*) as n_convs,
+        sha256(coalesce(array_to_string(list(c order by c) filter (len(l) = depth), ','), '')) as ends_sha256
+    from steps group by all
+), valued as (
+    select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes k
+        where k.depth = n.depth + 1 and k.path[1:n.depth] = n.path) as n_children
+    from nodes n left join nodes p on p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]
+), above as (
+    select unnest(range(0, depth + 1)) as d, path, n_children,
+        case when depth = 0 then 0 else (n_convs - 1) * length(path[depth].text) end as saved from valued
+), sums as (
+    select d as depth, path[1:d] as path, cast(count(*) filter (n_children = 0) as bigint) as n_leaves,
+        cast(sum(saved) as bigint) as saved_tokens from above group by all
+)
+select v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+from valued v join sums s on s.depth = v.depth and s.path = v.path
+"""
+
+ORACLES["op13_hard_negatives"] = """
+with units as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+    select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_sum(
+        list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score
+    from units a join units b on a.vec_id != b.vec_id and len(a.v) = len(b.v) where a.vec_id % 100 = 0
+), positives as (
+    select anchor_id, id as positive_id, score as positive_score from pairs where same
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over best as int) as rank, id as negative_id,
+    positive_score, score as negative_score
+from positives join pairs using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+window best as (partition by anchor_id, positive_id order by score desc, id)
+qualify row_number() over best <= 5
+"""

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.llm import (
-    bpe_automaton, embedding_graph, hamming_dedup, licenses, packing, quality, secrets, suffix_dedup,
-    toxicity, warc,
+    bpe_automaton, conversation_trie, embedding_graph, hamming_dedup, hard_negatives, licenses, mixing,
+    packing, quality, secrets, suffix_dedup, toxicity, warc,
 )
 from sentinela.llm.common import stored, table
 from sentinela.sources.snapshots import new_folder
@@ -115,6 +115,21 @@ def op10_quality(spark, sf):
     return quality.clean_documents(table(spark, sf, "documents")).drop("cleaned")
 
 
+@query
+def op11_mixing(spark, sf):
+    return mixing.words_taken(*mixing.mix_sources(table(spark, sf, "documents")))
+
+
+@query
+def op12_trie(spark, sf):
+    return conversation_trie.conversation_trie(table(spark, sf, "conversations"))[0]
+
+
+@query
+def op13_hard_negatives(spark, sf):
+    return hard_negatives.mine_negatives(table(spark, sf, "embeddings"))
+
+
 @query
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
