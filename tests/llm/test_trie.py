@@ -63,14 +63,16 @@ def awkward():
     rows += [(200, None, "user", "first"), (200, None, "user", "again"), (201, 1, "user", "x")]
     rows += [(202, 2, "user", "tie"), (202, 2, "bot", "tie")] * 3
     rows += [(None, 1, "user", "nobody's"), (None, None, None, None)]
-    rows += [(700, t, "user", f"turn {t % 3}") for t in range(2500)]        # a long conversation
+    rows += [(700, t, "user", f"turn {t % 3}") for t in range(150)]         # a long conversation
     rows += [(c, t, "user", f"hot {t}") for c in range(1000, 1090) for t in range(7)]
     return rows
 
 
 @pytest.mark.parametrize("local_nodes", [trie.LOCAL_NODES, 300])
-def test_trie_of_awkward_rows(spark, local_nodes):
+def test_trie_of_awkward_rows(spark, local_nodes, monkeypatch):
     rows = awkward()
+    if local_nodes == 300:
+        monkeypatch.setattr(trie, "SEGMENT", 16)
     assert found(spark, rows, local_nodes) == plain(rows)
 
 
