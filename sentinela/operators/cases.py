@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,11 +70,55 @@ def unknown_sites(cases: DataFrame, sites: Sequence[str],
     return wanted.join(cases.select(column).distinct(), column, "left_anti")
 
 
+def _warn_of(missing: Sequence[str]) -> None:
+    if missing:
+        warnings.warn(f"sites not found: {', '.join(sorted(missing))}; they have no rows", stacklevel=3)
+
+
+def _ended(seen: Observation) -> bool:
+    try:
+        return seen._jo.future().isCompleted()
+    except Exception:       # the session is gone
+        return False
+
+
+def _warn_when_run(seen: Observation, names: Mapping[str, str]) -> None:
+    """Wait for the job that fills the observation, then warn about the sites it has not met."""
+    try:
+        counts = seen.get
+    except Exception:
+        # Adaptive execution drops a part without rows, and with it the counts; or no job ever ran.
+        if not _ended(seen):
+            return
+        counts = {}
+    _warn_of([site for name, site in names.items() if not counts.get(name)])
+
+
+def warn_of_unseen(rows: DataFrame, sites: Sequence[str], column: str) -> DataFrame:
+    """The same rows; the first job that reads them also counts the given sites.
+
+    Once that job has ended, sites without rows give a warning. It needs no job of its own
+    and no rows beyond those the job reads anyway. Where Spark knows without a job that
+    there is no row, the warning comes at once.
+    """
+    most = rows._jdf.queryExecution().optimizedPlan().maxRows()
+    if most.isDefined() and most.get() == 0:
+        _warn_of(sites)
+        return rows
+    seen = Observation()
+    names = {f"site_{k}": site for k, site in enumerate(sites)}
+    observed = rows.observe(seen, *[
+        F.count_if(F.col(column) == site).alias(name) for name, site in names.items()])
+    threading.Thread(target=_warn_when_run, args=(seen, names), daemon=True).start()
+    return observed
+
+
 def at_sites(cases: DataFrame, site: str | Sequence[str] = "all",
              column: str = "site_name", check: bool = False) -> DataFrame:
     """Keep the given sites, ``"all"`` keeps everything.
 
-    ``check=True`` reads the site column once and warns about sites not in the data.
+    A site without rows gives a warning as soon as the caller's job has run. ``check=True``
+    warns at once and also lists the sites there are, for which it reads the site column.
     """
     wanted = [site] if isinstance(site, str) else list(site)
     if not all(isinstance(s, str) for s in wanted):
@@ -87,7 +132,9 @@ def at_sites(cases: DataFrame, site: str | Sequence[str] = "all",
             warnings.warn(
                 f"sites not found: {', '.join(missing)}; those present: "
                 f"{', '.join(sorted(others))}", stacklevel=2)
-    return cases.where(F.col(column).isin(*wanted))
+    kept = cases.where(F.col(column).isin(*wanted))
+    # Counted after the filter, which so still reaches the scan.
+    return kept if check else warn_of_unseen(kept, wanted, column)
 
 
 def derive(df: DataFrame, stages: Sequence[Mapping[str, Column]],

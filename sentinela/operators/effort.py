@@ -13,6 +13,7 @@ from sentinela.functions.results import any_of
 from sentinela.functions.scalars import (
     count_and_percent, hex_text, site_heading, title_case,
 )
+from sentinela.operators.reducers import reduce_to
 from sentinela.operators.reshape import listed_only, pivot_first, unpivot_records
 from sentinela.syndromes import ACTIVE_SITES, SOFT_CATCHMENT
 
@@ -55,8 +56,9 @@ def screening_effort(
     """Totals per department and site of the left join of subjects and eligibility.
 
     Both sides are counted per subject before they meet, so a subject id repeated on
-    both sides adds up by multiplication instead of fanning out. A total with any
-    unknown flag in it is NULL.
+    both sides adds up by multiplication instead of fanning out. Of the eligibility of all
+    years only rows of the period's subjects (and few others, told by a bitmap) are counted
+    and shuffled. A total with any unknown flag in it is NULL.
     """
     # A subject row enters the flags only through this three-valued part of "enrolled".
     base = F.col("SASubjectID").isNotNull() & (F.col(consent) == 1)
@@ -74,7 +76,7 @@ def screening_effort(
     flags = {f: F.col(f) == 1 for f in ELIGIBILITY}
     flags["enrolled"] = any_of(flags.values())
     per_subject = (
-        eligibility
+        reduce_to(eligibility, subject_key(eligibility), screened, "subject")
         .groupBy(subject_key(eligibility).alias("subject"))
         .agg(F.count(F.lit(1)).alias("rows"),
              *[F.count_if(v).alias(f"{f}_true") for f, v in flags.items()],

@@ -27,6 +27,10 @@ def period_points(rows: DataFrame, series: Sequence[str], time: str, unit: str,
             .agg(*[agg.alias(name) for name, agg in values.items()]))
 
 
+# Days of a range of dates, which one row holds.
+RANGE_DAYS = 64
+
+
 def _require_points(points: DataFrame) -> None:
     if not isinstance(points.schema["t"].dataType, T.DateType):
         raise ValueError("series operators need period points with a date column t; "
@@ -138,40 +142,64 @@ def overview_limits(overview: DataFrame, log_scale: bool = False) -> DataFrame:
     return limits.select((lo - extra).alias("y_min"), (hi + extra).alias("y_max"))
 
 
+def series_names(sums: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(ord, name): the listed series and then all others, by name; one row per series."""
+    listed = F.array(*[F.lit(name) for name in order]).cast("array<string>")
+    first = sums.sparkSession.range(0, 1, 1, 1).select(F.posexplode(listed).alias("ord", "name")).select(
+        (F.col("ord") + 1).alias("ord"), "name")
+    others = sums.where(F.col("name").isNull() | ~F.col("name").isin(*order)).select("name").distinct()
+    by_name = Window.orderBy(F.col("name").asc_nulls_first())
+    return first.unionByName(others.select(
+        (F.row_number().over(by_name) + len(order)).alias("ord"), "name"))
+
+
+def date_ranges(sums: DataFrame, date_range: Column) -> Column:
+    """The ranges and their dates, as one value; there are no more dates than days in the calendar."""
+    ranges = sums.select("t").distinct().groupBy(date_range).agg(
+        F.sort_array(F.collect_list("t")).alias("dates"))
+    return ranges.agg(F.sort_array(F.collect_list(F.struct("range", "dates"))).alias("ranges")).scalar()
+
+
 def stacked_series(points: DataFrame, series: str, order: Sequence[str], *,
                    fill: str = "all", y: str = "y") -> DataFrame:
     """Running total across series at every date, the last series at the bottom.
 
     A missing value stacks as the line between its neighbours; beyond the first or last
     value it takes that value (``"all"``) or 0 (``"inside"``); ``"none"`` stacks 0.
-    Series that ``order`` does not name follow those it names, by name. The grid of dates and
-    series is exploded from one row of points, never of cases.
+    Series that ``order`` does not name follow those it names, by name.
+
+    Every series is worked off in ranges of dates: its last and first known values of a range
+    are carried to the ranges after and before, and only then do dates become rows. A task holds
+    the ranges of one series or the series of one date, never dates times series.
     """
     _require_points(points)
     if fill not in ("all", "inside", "none"):
         raise ValueError(f"fill must be all, inside or none, not {fill!r}")
-    listed = F.array(*[F.lit(name) for name in order]).cast("array<string>")
-    sums = points.groupBy("t", series).agg(F.sum(valid(F.col(y))).cast("double").alias("y"))
-    # One row with the dates and names; structs, as a series may have no name.
-    axes = sums.agg(F.collect_set("t").alias("t"),
-                    F.collect_set(F.struct(F.col(series).cast("string").alias("name"))).alias("found"))
-    others = F.sort_array(F.filter(
-        F.transform("found", lambda s: s["name"]),
-        lambda name: name.isNull() | ~F.array_contains(listed, name)))
-    axes = axes.select(F.explode("t").alias("t"), F.concat(listed, others).alias("names"))
-    axes = axes.select("t", F.posexplode("names").alias("ord", series)).select(
-        "t", (F.col("ord") + 1).alias("ord"), series)
-    g, s = axes.alias("g"), sums.alias("s")
-    grid = g.join(s, (F.col("g.t") == F.col("s.t")) & F.col(f"g.{series}").eqNullSafe(
-        F.col(f"s.{series}")), "left").select("g.t", "g.ord", f"g.{series}", "s.y")
-
-    line = Window.partitionBy("ord").orderBy("t")
+    sums = points.groupBy("t", F.col(series).cast("string").alias("name")).agg(
+        F.sum(valid(F.col(y))).cast("double").alias("y"))
+    date_range = F.floor(F.datediff("t", F.lit(dt.date(1970, 1, 1))) / RANGE_DAYS).alias("range")
+    cells = series_names(sums, order).select(
+        "ord", "name", F.explode(date_ranges(sums, date_range)).alias("cell")).select(
+        "ord", "name", "cell.range", "cell.dates")
+    known = sums.where("y is not null").groupBy("name", date_range).agg(
+        F.sort_array(F.collect_list(F.struct("t", "y"))).alias("points"))
+    c, k = cells.alias("c"), known.alias("k")
+    cells = c.join(k, F.col("c.name").eqNullSafe(F.col("k.name")) & (F.col("c.range") == F.col("k.range")),
+                   "left").select("c.*", "k.points")
+
+    line = Window.partitionBy("ord").orderBy("range")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     after = line.rowsBetween(1, Window.unboundedFollowing)
-    point = F.when(F.col("y").isNotNull(), F.struct("t", "y"))
-    near = grid.withColumns({
-        "prev": F.last(point, ignorenulls=True).over(before),
-        "next": F.first(point, ignorenulls=True).over(after)})
+    cells = cells.withColumns({
+        "carried": F.last(F.element_at("points", -1), ignorenulls=True).over(before),
+        "awaited": F.first(F.element_at("points", 1), ignorenulls=True).over(after)})
+    grid = cells.withColumn("t", F.explode("dates")).withColumns({
+        "y": F.get(F.filter("points", lambda p: p["t"] == F.col("t")), F.lit(0))["y"],
+        # The nearest known values on both sides, in this range or from another.
+        "prev": F.coalesce(F.try_element_at(
+            F.filter("points", lambda p: p["t"] < F.col("t")), F.lit(-1)), "carried"),
+        "next": F.coalesce(F.try_element_at(
+            F.filter("points", lambda p: p["t"] > F.col("t")), F.lit(1)), "awaited")})
     prev_y, next_y = F.col("prev.y"), F.col("next.y")
     steps = F.datediff("t", F.col("prev.t")) / F.datediff(F.col("next.t"), F.col("prev.t"))
     zero = F.lit(0.0)
@@ -183,8 +211,8 @@ def stacked_series(points: DataFrame, series: str, order: Sequence[str], *,
     }[fill]
     below = Window.partitionBy("t").orderBy(F.desc("ord")).rowsBetween(
         Window.unboundedPreceding, 0)
-    return (near.withColumn("filled", filled)
-            .select("t", series, "ord", "y", F.sum("filled").over(below).alias("y_stacked")))
+    return (grid.select("t", F.col("name").alias(series), "ord", "y", filled.alias("filled"))
+            .withColumn("y_stacked", F.sum("filled").over(below)).drop("filled"))
 
 
 def range_cut(points: DataFrame, series: Sequence[str], low: dt.date, high: dt.date,

@@ -6,11 +6,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from oracle_check import compare, database
-from sentinela.plans import queries as library_queries
+from sentinela.plans.oracles import ORACLES
+from sentinela.plans.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +23,9 @@ def test_same_result_as_sql(spark, con, name):
 
 
 def test_all_queries_of_the_library_are_checked():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(library_queries.QUERIES) <= set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry_has_rows(spark):

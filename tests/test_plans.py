@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from sentinela.functions.calendar import from_epoch
-from sentinela.operators import effort, maps
+from sentinela.operators import cases, effort, maps, reducers
 from sentinela.plans import queries, tables
 from sentinela.session import PARTITIONS, at_most_partitions, partitions_for, size_settings
 
 SF = "/root/testdata/sf0.001"
 # The refresh writes files; its parts are checked one by one.
-LAZY = sorted(n for n in entry_module.queries() if not n.startswith("refresh_")
+LAZY = sorted(n for n in queries.QUERIES if not n.startswith("refresh_")
               and n not in ("weekly_refresh", "snapshot_roundtrip", "report_roundtrip"))
 
 
@@ -146,3 +146,34 @@ def test_third_of_all_rows_under_one_id(spark):
     hot = tables.read(spark, SF, "orders").where("o_orderkey % 3 = 0").count()
     assert hot * 3 >= tables.read(spark, SF, "orders").count()
     assert df.where("subject_id is null").count() == 1
+
+
+def test_eligibility_is_cut_before_its_exchange(spark, no_broadcast):
+    """The bitmap is a value of the plan, tested where the eligibility is read."""
+    plan = plan_of(queries.screening_effort_counts(spark, SF))
+    assert "BroadcastHashJoin" not in plan
+    lines = plan.splitlines()
+    cut = next(k for k, line in enumerate(lines) if "Filter" in line and "subquery" in line.lower())
+    assert "xxhash64" in lines[cut]
+    above = [line for line in lines[:cut] if "partial_count" in line or "Exchange" in line]
+    # Nothing has been shuffled yet: the nearest step above that moves rows is an exchange.
+    assert "Exchange hashpartitioning" in above[-1]
+
+
+def test_bitmap_keeps_all_keys_and_few_others(spark):
+    rows, keys = spark.range(100_000), spark.range(0, 100_000, 50).withColumnRenamed("id", "k")
+    kept = reducers.reduce_to(rows, F.col("id"), keys, "k")
+    assert kept.where("id % 50 = 0").count() == 2000
+    assert kept.count() < 2200
+    tiny = reducers.reduce_to(rows, F.col("id"), keys, "k", bits=64)       # full: nothing is cut
+    assert tiny.count() == 100_000
+    assert reducers.reduce_to(rows, F.col("id"), keys.limit(0), "k").count() == 0
+
+
+def test_site_filter_with_its_warning_reaches_the_scan(spark, tmp_path):
+    tables.cases(spark, SF).write.parquet(str(tmp_path / "cases"))
+    kept = cases.at_sites(spark.read.parquet(str(tmp_path / "cases")), ["5 - LOW"])
+    plan = plan_of(kept.groupBy("site_name").count())
+    assert "PushedFilters: [IsNotNull(site_name), EqualTo(site_name,5 - LOW)" in plan \
+        or "In(site_name, [5 - LOW])" in plan
+    assert "ReadSchema: struct<site_name:string>" in plan

@@ -3,6 +3,8 @@
 import datetime as dt
 import itertools
 import random
+import time
+import warnings
 
 import numpy as np
 import pytest
@@ -87,6 +89,45 @@ def test_unknown_site_warns_and_gives_no_rows(spark):
         case_ops.at_sites(df, [1])
 
 
+def warnings_of(action):
+    """What a job warns of; the warning comes from a thread that waits for the job."""
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        action()
+        for _ in range(60):
+            if any("sites not found" in str(w.message) for w in caught):
+                break
+            time.sleep(0.03)
+    return [str(w.message) for w in caught if "sites not found" in str(w.message)]
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_positivity_warns_of_sites_without_rows(spark, tmp_path, stored):
+    """With the table's defaults, once the caller's own job has run, and without another job."""
+    rows = [("u1", "a", D(2018, 6, 1), True), ("u2", "b", D(2018, 6, 1), False)]
+    df = spark.createDataFrame(rows, "unique_id string, site_name string, service_date date, flu boolean")
+    if stored:
+        df.write.parquet(str(tmp_path / "cases"))
+        df = spark.read.parquet(str(tmp_path / "cases"))
+    dates = ReportDates(D(2018, 6, 17))
+
+    def run(site):
+        table = positivity.positivity_table(df, {"flu": "Influenza"}, dates, site=site)
+        tracker = spark.sparkContext.statusTracker()
+        group = f"site-{site}-{stored}"
+        spark.sparkContext.setJobGroup(group, "site")
+        found.append((table.collect(), len(tracker.getJobIdsForGroup(group))))
+
+    found = []
+    assert warnings_of(lambda: run(["a", "zzz", "yyy"])) == ["sites not found: yyy, zzz; they have no rows"]
+    assert warnings_of(lambda: run("nowhere")) == ["sites not found: nowhere; they have no rows"]
+    assert warnings_of(lambda: run(["a", "b"])) == []
+    assert warnings_of(lambda: run("all")) == []
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert sum(r["n_tested"] for r in found[1][0]) == 0 < sum(r["n_tested"] for r in found[0][0])
+    assert found[0][1] <= found[3][1]        # no more jobs than without a list of sites
+
+
 def test_sorted_nulls_last(spark):
     df = spark.createDataFrame(
         [(None, "Q", D(2018, 1, 1), 1), ("h", None, D(2018, 1, 1), 2), ("h", "Q", None, 3),

@@ -218,3 +218,44 @@ def test_stacking_keeps_series_that_the_order_does_not_name(spark):
     got = {r["s"]: (r["ord"], r["y_stacked"]) for r in ops.stacked_series(df, "s", ["b"]).collect()}
     assert got["b"] == (1, 8.0) and set(got) == {"a", "b", None}
     assert max(total for _, total in got.values()) == 8.0
+
+
+@pytest.mark.parametrize("mode", ["all", "inside", "none"])
+def test_stacking_carries_over_ranges_of_dates(spark, mode, monkeypatch):
+    """Values months apart: what lies between is carried over whole ranges without any."""
+    monkeypatch.setattr(ops, "RANGE_DAYS", 8)
+    days = [D(2023, 11, 20) + dt.timedelta(3 * k) for k in range(60)]
+    values = {"a": {0: 1.0, 59: 60.0}, "b": {20: 4.0, 21: 6.0, 45: 30.0}, "c": {k: float(k) for k in range(60)},
+              "none": {}}
+    rows = [(t, s, own.get(k)) for s, own in values.items() for k, t in enumerate(days)]
+    df = spark.createDataFrame(rows, "t date, s string, y double")
+    got = {(r["t"], r["s"]): r["y_stacked"] for r in ops.stacked_series(df, "s", list(values), fill=mode).collect()}
+    assert len(got) == 240
+    for k, t in enumerate(days):
+        total = 0.0
+        for s in reversed(values):
+            own = values[s]
+            low, high = max((i for i in own if i <= k), default=None), min((i for i in own if i >= k), default=None)
+            if k in own:
+                total += own[k]
+            elif mode != "none" and low is not None and high is not None:
+                total += own[low] + (own[high] - own[low]) * (k - low) / (high - low)
+            elif mode == "all" and (low is not None or high is not None):
+                total += own[high if low is None else low]
+            assert got[t, s] == pytest.approx(total)
+
+
+def test_stacking_of_fifty_thousand_series(spark):
+    """A point or two of each; no row holds all names, no task dates times series."""
+    n = 50_000
+    df = spark.range(n).select(
+        F.explode(F.array(F.lit(D(2020, 1, 1)), F.lit(D(2020, 1, 11)), F.lit(D(2020, 6, 1)))).alias("t"),
+        F.format_string("s%05d", "id").alias("s"), F.col("id").alias("k"))
+    df = df.select("t", "s", F.when((F.col("k") % 2 == 0) | (F.col("t") != D(2020, 1, 11)), 1.0).alias("y"))
+    got = ops.stacked_series(df, "s", ["s00007"])
+    tops = got.groupBy("t").agg(F.count("*").alias("n"), F.max("y_stacked").alias("top"),
+                                F.max(F.when(F.col("s") == "s00007", F.col("y_stacked"))).alias("first"))
+    rows = {r["t"]: (r["n"], r["top"], r["first"]) for r in tops.collect()}
+    assert rows == {d: (n, float(n), float(n)) for d in (D(2020, 1, 1), D(2020, 1, 11), D(2020, 6, 1))}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(t") == 1        # the calendar, which is bounded
