@@ -16,10 +16,12 @@ are not paired all with all:
    connected. Keys, pivots and links are joins and counts, which no hot key unbalances.
 2. The distance being a metric, a member connected to its pivot can be left out if no
    unconnected member of the key can be within its reach. Keys of near copies end here.
-3. What is left is compared in blocks of at most ``BLOCK`` classes, a larger key in pairs
-   of blocks: signatures first, then, for classes with an unconnected partner within reach, the
-   shingle sets of the block's texts. A pair is compared under its first common key only,
-   and a block gives out a spanning forest of its links, so nothing grows with the pairs.
+3. What is left, where a key still has classes of several components, is compared in blocks:
+   signatures first, ``SIGNATURE_BLOCK`` at once; then, for classes with an unconnected partner
+   within reach, the shingle sets of ``BLOCK`` texts. Only a key larger than that is worked off in
+   pairs of blocks. Signature and text are joined once per class and key, before any such copy.
+   A pair is compared under its first common key only, and a block gives out a spanning
+   forest of its links, so nothing grows with the pairs.
 
 Edge cases: a null text or one without words has an empty set and is linked with nothing; a
 null id is linked with nothing and kept; rows that share an id are one document with all
@@ -44,6 +46,7 @@ CHUNK = SYMBOLS // CHUNKS
 REACH = CHUNKS * (ERRORS + 1) - 1
 SHINGLE = 5
 LEAST_PERCENT = 75
+SIGNATURE_BLOCK = 4096
 BLOCK = 1000
 PAIRS_PER_HUB = 500
 
@@ -299,24 +302,27 @@ def near_groups(docs: DataFrame, *, id_column: str = "doc_id",
     apart = _connected(members.join(
         stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "distance"),
         ["pivot", "rep"]), groups, "pivot", "rep")
-    apart = stored(apart.select("key", "rep", "distance", (F.col("ca") == F.col("cb")).alias("tied")),
-                   "near-apart")
+    apart = stored(apart.select("key", "rep", "distance", F.col("cb").alias("component"),
+                                (F.col("ca") == F.col("cb")).alias("tied")), "near-apart")
     nearest = apart.where("not tied").groupBy("key").agg(F.min("distance").alias("least"))
-    left = apart.join(nearest, "key").where(f"not tied or distance >= least - {REACH}")
-    sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = stored(in_blocks(left.join(sizes, "key").select("key", "rep", "size"), "key", "rep", BLOCK),
-                    "near-blocks")
+    left = apart.join(nearest, "key").where(f"not tied or distance >= least - {REACH}").select(
+        "key", "rep", "component")
+    # Classes that are connected already have nothing to find out.
+    several = left.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    left = stored(left.join(several.where("low != high").select("key", "size"), "key"), "near-left")
     known = classes.groupBy("rep").agg(F.first("signature").alias("signature"))
-    own = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("component"))
-    blocks = blocks.join(known, "rep").join(own, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")).select(
-        *BLOCK_KEYS, "block", "rep", "component", "signature")
-    blocks = stored(with_partners(blocks), "near-blocks")
-    ids = blocks.select(F.col("rep").alias("doc_id")).distinct()
+    chosen = stored(with_partners(in_blocks(left.join(known, "rep"), "key", "rep", SIGNATURE_BLOCK).select(
+        *BLOCK_KEYS, "block", "rep", "component", "signature")), "near-partners")
+    # A class of several pairs of blocks may have been chosen in some of them.
+    chosen = chosen.select("key", "rep", "component", "signature").dropDuplicates(["key", "rep"])
+    ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
     # Not a semi join: Spark would do that before the filter.
     texts = stored(maybe_among(docs, ids, "doc_id").join(ids, "doc_id"), "near-texts")
-    groups = _grown(groups, confirm_in_blocks(
-        blocks.join(texts.withColumnRenamed("doc_id", "rep"), "rep")))
+    sizes = chosen.groupBy("key").agg(F.count("*").alias("size"))
+    named = chosen.join(sizes, "key").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    groups = _grown(groups, confirm_in_blocks(in_blocks(named, "key", "rep", BLOCK).select(
+        *BLOCK_KEYS, "block", "rep", "component", "signature", "text")))
 
     reps = classes.select("set_hash", "rep")
     named = groups.select(F.col("id").alias("rep"), "component_id")
