@@ -31,6 +31,7 @@ WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3              # a source's target stops at so many times its size
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
+TASK_SLOTS = 8 * SHARD_SLOTS    # made in one task
 BUCKET = 4096               # documents whose places are summed in one task
 COPIES = 1024               # equal rows dealt as one
 ROUNDS = 24                 # of the permutation
@@ -186,13 +187,17 @@ def permuted(place: Column, count: Column, key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), place, step)
 
 
-def mix_slots(counts: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(shard, place, source, pass, block, words): which block each slot holds and how much of it."""
+def mix_slots(counts: DataFrame, budgets: DataFrame, slots: int) -> DataFrame:
+    """(shard, place, source, pass, block, words): which block each slot holds and how much of it.
+
+    A few counts become many slots, so the shards are dealt by the number of slots, not by bytes.
+    """
+    counts = counts.repartition(max(1, math.ceil(slots / TASK_SLOTS)), "shard")
     own = budgets.select(F.col("source").alias("_source"), "source_size", "blocks", "pass_slots",
                          F.col("words").alias("_words"))
-    slots = counts.join(own, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
+    dealt = counts.join(own, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
         "k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
-    slots = slots.withColumn("pass", F.floor(F.col("k") / F.col("pass_slots"))).withColumn(
+    dealt = dealt.withColumn("pass", F.floor(F.col("k") / F.col("pass_slots"))).withColumn(
         "nth", F.col("k") - F.col("pass") * F.col("pass_slots"))
     full = F.col("nth") < F.col("blocks")
     block = F.when(full, permuted(
@@ -202,7 +207,7 @@ def mix_slots(counts: DataFrame, budgets: DataFrame) -> DataFrame:
     length = F.when(full, F.lit(BLOCK_WORDS)).otherwise(F.col("source_size") - F.col("blocks") * BLOCK_WORDS)
     # A shard has at most SHARD_SLOTS slots, in an order of its own.
     order = Window.partitionBy("shard").orderBy(F.xxhash64("source", "k"), "source", "k")
-    return slots.select(
+    return dealt.select(
         "shard", (F.row_number().over(order) - 1).alias("place"), "source", "pass",
         block.alias("block"), F.least(length, left).alias("words"))
 
@@ -262,7 +267,7 @@ def mix_sources(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     copies = stored(document_copies(placed_documents(sizes, sources, buckets)), "mix-documents")
     budgets = stored(source_budgets(sources), "mix-budgets")
     slots = budgets.agg(F.sum("slots")).first()[0] or 0
-    dealt = mix_slots(drawn_counts(budgets, max(1, slots)), budgets).alias("slot")
+    dealt = mix_slots(drawn_counts(budgets, max(1, slots)), budgets, slots).alias("slot")
     pieces = block_pieces(copies).alias("piece")
     # The last slot of a source may take only the beginning of its block.
     taken = F.least("piece.n_words", F.col("slot.words") - F.col("piece.at"))
