@@ -117,16 +117,24 @@ def paths_and_nodes(convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, Data
     Nodes (node, depth, parent, n_convs, n_children, chars, size): ``size`` counts the subtree's nodes.
     """
     found = stored(prefixes(convs, turns), "trie-prefixes")
-    nodes = found.groupBy("depth", "x", "y").agg(
-        F.min("conv").alias("node"), F.count("*").alias("n_convs"), F.first("chars").alias("chars"))
-    steps = stored(found.select("conv", "depth", "x", "y").join(nodes, ["depth", "x", "y"]).select(
-        "conv", "depth", "node", "n_convs", "chars"), "trie-steps")
+    # Stored, so that the join may split a beginning that very many conversations have.
+    nodes = stored(found.groupBy("depth", "x", "y").agg(
+        F.min("conv").alias("node"), F.count("*").alias("n_convs"), F.first("chars").alias("chars")),
+        "trie-named")
+    # The root has all conversations and needs no join.
+    root = nodes.where("depth = 0").first()
+    first = F.lit(root.node if root else None).cast("long")
+    every = F.lit(root.n_convs if root else None).cast("long")
+    roots = found.where("depth = 0").select("conv", "depth", first.alias("node"), every.alias("n_convs"), "chars")
+    steps = stored(roots.unionByName(
+        found.where("depth > 0").select("conv", "depth", "x", "y").join(nodes, ["depth", "x", "y"]).select(
+            "conv", "depth", "node", "n_convs", "chars")), "trie-steps")
     above = steps.select("conv", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"))
     paths = stored(steps.join(above, ["conv", "depth"], "left"), "trie-paths")
 
     # The nodes that a conversation is the smallest member of are the last ones of its path.
     own = paths.where("node = conv").groupBy("conv").agg(F.min("depth").alias("first"))
-    ends = convs.join(own, "conv")
+    ends = stored(convs.join(own, "conv"), "trie-ends")
     adds = F.greatest(F.lit(0), F.col("length") - F.greatest("first", "depth") + 1)
     sizes = paths.join(ends, "conv").groupBy("node", "depth").agg(F.sum(adds).alias("size"))
     children = paths.where("node = conv and depth > 0").groupBy(
