@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 # Text that a Python task works on at once. Arrow batches hold a number of rows, and rows
 # may be long, so tasks cut them into slices of about this size.
 SLICE_BYTES = 1 << 20
+# Workers give large arrays back to the system at once instead of keeping them for reuse.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 18),
+                 "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
 # Bytes of an Arrow batch, of which a Python worker holds one or two.
 BATCH_BYTES = 8 << 20
 
@@ -30,14 +33,23 @@ def ship(spark: SparkSession) -> None:
     executor's memory with its JVM; a smaller setting of the session stays.
     """
     batch = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(batch).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(batch)) > BATCH_BYTES:
         spark.conf.set(batch, str(BATCH_BYTES))
     environment = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
     paths = environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, paths) if p)
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """The name, lengthened until none of those taken is the same."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

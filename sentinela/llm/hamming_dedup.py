@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import components, in_blocks, key_runs, maybe_among, slices, stored
+from sentinela.llm.common import components, free_name, in_blocks, key_runs, maybe_among, slices, stored
 from sentinela.llm.words import mix, shingle_hashes, shingle_sets, word_hashes, words
 
 SYMBOLS, BITS, CHUNKS, ERRORS = 64, 16, 16, 1
@@ -338,6 +338,7 @@ def drop_near_copies(docs: DataFrame, *, id_column: str = "doc_id",
                      text_column: str = "text") -> DataFrame:
     """The documents with all their columns, of each group the one of smallest id."""
     groups = near_groups(docs, id_column=id_column, text_column=text_column)
-    # Only ids of copies go through the join's other side.
-    copies = groups.where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col(id_column).cast("long") == F.col("_copy"), "left_anti")
+    # Only ids of copies go through the join's other side, under a name that the documents don't have.
+    name = free_name("copy", docs.columns)
+    copies = groups.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(copies, F.col(id_column).cast("long") == F.col(name), "left_anti")

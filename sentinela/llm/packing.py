@@ -154,9 +154,15 @@ def _pack_partitions(items: DataFrame, level: int, capacity: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length``.
 
-    The rows must be narrow: a task holds those of its partition.
+    The rows must be narrow: a task holds those of its partition. Columns of the rows that have
+    the names of the two that are added give way to them.
     """
-    local = stored(_pack_partitions(pieces, 0, capacity), "packing")
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    # Whatever further columns are called, only the length goes under its own name.
+    others = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    items = pieces.select(others, F.col("length").cast("long").alias("length"))
+    local = stored(_pack_partitions(items, 0, capacity), "packing")
+    names = [F.col(f"row.`{c}`") for c in kept]
     done = math.ceil(capacity * (1 - NEARLY_FULL))
     left = local.where(f"at = 0 and fill < {done}").select("bin", F.col("fill").alias("length"))
     nodes = local.rdd.getNumPartitions()
@@ -181,7 +187,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         left = round_.where(f"at = 0 and fill < {done}").select("bin", F.col("fill").alias("length"))
         if nodes == 1:
             break
-    names = pieces.columns
     if moved is None:
         return local.select(*names, F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
     moved = moved.select(F.col("base").alias("bin"), F.col("bin").alias("_top"),
