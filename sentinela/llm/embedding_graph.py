@@ -11,12 +11,14 @@ Equal vectors are one class throughout. Cluster centres are fitted on ``SAMPLE``
 chosen by hash; everything else covers all rows. Centres of cosine ``DENSE_COSINE`` form one
 shard, and a class goes to its ``OVERLAP`` nearest shards and to all centres whose angle is within
 that of the nearest one, or of ``DENSE_COSINE`` if that is less, plus that of a link. So any two
-linked classes share a shard if one of them is that near to a centre. A shard of more than ``MOST`` classes is
+linked classes share a shard if one of them is that near to a centre. Others may miss each other
+in one clustering; classes are therefore dealt by ``CLUSTERINGS`` independent ones. A shard of more than ``MOST`` classes is
 worked off in pairs of blocks, so no task holds more than two blocks. A pair is counted in one
 group only: its smallest common shard, in the group of its two blocks.
 
 Edge cases: a vector that is null, empty, zero or has null or non-finite components links
-with nothing, and vectors of different lengths don't link; a null id stays null with no component;
+with nothing, and vectors of different lengths don't link; a row without id links with nothing and has no
+component;
 rows that share an id count as separate vectors of one id.
 """
 
@@ -37,11 +39,13 @@ SAMPLE = 20_000             # classes that the centres are fitted on
 SHARD = 400                 # classes per centre aimed at; each class goes to several
 MOST_CENTRES = 2048
 OVERLAP = 3
+CLUSTERINGS = 2             # fitted independently; each deals every class
 DENSE_COSINE = 0.9          # centres this near form one shard; classes this near are dealt by angle
 MOST = 1500                 # classes of a block
 CANDIDATES, FAR, DEGREE, ALPHA = 40, 16, 24, 1.2
 MEDOIDS, BEAM, QUERIES = 24, 12, 128
-AUDIT = 64                  # queries of the audit
+AUDIT = 64                  # queries of the audit, half of them among classes with links
+LEAST_RECALL = 0.9          # of the audit; less is an error
 
 _FAR_SEED = 7
 
@@ -125,18 +129,23 @@ def shards_of(classes: DataFrame, count: int) -> DataFrame:
     centres, first = {}, 0
     for size in sorted(by_width):
         rows = np.frombuffer(b"".join(by_width[size])).reshape(-1, size // 8)
-        own = fit_centres(rows, max(1, round(wanted * len(rows) / len(sample))))
-        centres[size] = (first, own, joined_centres(own))
-        first += len(own)
+        for clustering in range(CLUSTERINGS):
+            # Another order begins with other centres.
+            order = np.random.default_rng(clustering).permutation(len(rows))
+            own = fit_centres(rows[order], max(1, round(wanted * len(rows) / len(sample))))
+            centres.setdefault(size, []).append((first, own, joined_centres(own)))
+            first += len(own)
+            if len(own) == 1:
+                break               # one shard has all classes already
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards = []
             for vector in batch.column("vector").to_pylist():
                 # Lengths that the sample lacks have a shard of their own, below zero.
-                begin, own, joined = centres.get(len(vector), (-len(vector), None, None))
-                near = [0] if own is None else shards_near(np.frombuffer(vector), own, joined)
-                shards.append([begin + c for c in near])
+                unit = np.frombuffer(vector)
+                shards.append([begin + c for begin, own, joined in centres.get(len(vector), ())
+                               for c in shards_near(unit, own, joined)] or [-len(vector)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(shards, pa.list_(pa.int32()))],
                 [*batch.schema.names, "shards"])
@@ -309,13 +318,16 @@ def search_shards(members: DataFrame) -> DataFrame:
     return _grouped(members, searched, "rep long, links long, root long")
 
 
-def audit_recall(classes: DataFrame, links: DataFrame) -> float:
-    """Share of the links of ``AUDIT`` classes, chosen by hash, that the search has found.
+def audit_recall(classes: DataFrame, links: DataFrame) -> float | None:
+    """Share of the links of ``AUDIT`` classes that the search has found; None if none is due.
 
-    Brute force: all rows pass the queries, which are at most ``AUDIT`` vectors.
+    Half of the classes are chosen by hash among all, half among those with links. Brute force: all
+    rows pass the queries, which are at most ``AUDIT`` vectors.
     """
-    chosen = classes.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(AUDIT).collect()
-    queries = [(r.rep, np.frombuffer(bytes(r.vector))) for r in chosen]
+    half, by_hash = AUDIT // 2, (F.xxhash64("rep", F.lit(1)), "rep")
+    linked = classes.join(links.select("rep"), "rep").orderBy(*by_hash).limit(half).collect()
+    chosen = {r.rep: r for r in [*classes.orderBy(*by_hash).limit(half).collect(), *linked]}
+    queries = [(r.rep, np.frombuffer(bytes(r.vector))) for r in chosen.values()]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = dict.fromkeys((rep for rep, _ in queries), 0)
@@ -336,17 +348,20 @@ def audit_recall(classes: DataFrame, links: DataFrame) -> float:
     due = classes.mapInArrow(counted, "rep long, due long").groupBy("rep").agg(F.sum("due").alias("due"))
     both = due.join(links, "rep", "left").agg(
         F.sum("due"), F.sum(F.least("due", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    recall = both[1] / both[0] if both[0] else None
+    if recall is not None and recall < LEAST_RECALL:
+        raise RuntimeError(f"the search has found only {recall:.3f} of the audited links")
+    return recall
 
 
 def near_vectors(vectors: DataFrame, *, id_column: str = "vec_id",
                  vector_column: str = "embedding") -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept, audited_recall``."""
     units = stored(unit_vectors(vectors, id_column, vector_column), "graph-units")
+    # Rows that share an id may be of several classes: a class is a node under a number of its own.
     classes = stored(units.where("hash is not null and vec_id is not null").groupBy("hash").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")),
-        "graph-classes")
-    # Rows that share an id may be of several classes: each class is a node of its own.
+        F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
+        .withColumn("rep", F.monotonically_increasing_id()), "graph-classes")
     nodes = classes.select("rep", "weight", "vector")
     dealt = stored(shards_of(nodes, nodes.count()), "graph-shards")
     members = dealt.withColumn("shard", F.explode("shards"))
@@ -355,15 +370,19 @@ def near_vectors(vectors: DataFrame, *, id_column: str = "vec_id",
     near = stored(build_shards(members.select(*GROUP, "rep", "vector")), "graph-lists")
     found = stored(search_shards(members.join(near, "rep")), "graph-found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    groups = stored(components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "graph-groups")
     recall = audit_recall(nodes, links)
-    named = classes.select("hash", "rep", "weight").join(links, "rep", "left").join(
-        groups.withColumnRenamed("id", "rep"), "rep", "left")
+    joined = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("group")).join(
+        classes.select("rep", "least"), "rep")
+    smallest = joined.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = classes.select("hash", "rep", "least", "weight").join(links, "rep", "left").join(
+        joined.select("rep", "group").join(smallest, "group"), "rep", "left")
+    own = F.coalesce("component_id", "least", "vec_id")
     return units.join(named, "hash", "left").select(
         "vec_id",
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long")
+        F.when(F.col("vec_id").isNull(), 0).otherwise(
+            F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long")
         .alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "rep", "vec_id"))
-        .alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "rep", "vec_id"), F.lit(True))
-        .alias("kept"), F.lit(recall).alias("audited_recall"))
+        F.when(F.col("vec_id").isNotNull(), own).alias("component_id"),
+        F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"),
+        F.lit(recall).cast("double").alias("audited_recall"))

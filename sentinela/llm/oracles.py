@@ -37,7 +37,8 @@ with recursive units as (
 ), least as (select id, least(id, min(other)) as component_id from reach group by id)
 select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links,
     coalesce(l.component_id, e.vec_id) as component_id,
-    e.vec_id = coalesce(l.component_id, e.vec_id) as kept, cast(1.0 as double) as audited_recall
+    e.vec_id = coalesce(l.component_id, e.vec_id) as kept,
+    case when exists (select 1 from links) then cast(1.0 as double) end as audited_recall
 from embeddings e left join least l on l.id = e.vec_id
 """
 
