@@ -45,9 +45,10 @@ from sentinela.llm.words import mix
 
 WINDOW = 100
 GRAM = 24
-SHARD_BYTES = 1 << 20       # text that one suffix array is built of
-HOT_BYTES = 8 << 20         # an anchor's different pieces beyond this are split
-TASK_RUNS = 500_000         # pieces that a task gathers before it sends them on
+SHARD_BYTES = 1 << 19       # text that one suffix array is built of; it takes some 100 bytes a byte
+HOT_BYTES = 1 << 21         # an anchor's different pieces beyond this are split
+TASK_RUNS = 250_000         # pieces that a task gathers before it sends them on
+PARTS = 32                  # of a bucket of anchors, judged one after another
 LAST = (1 << 63) - 1
 
 RUN = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"),
@@ -118,23 +119,26 @@ def _with_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def gather_runs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, copies, runs): pieces by a hash of their anchor, equal ones of a task apart."""
+    """(bucket, part, copies, runs): pieces by a hash of their anchor, equal ones of a task apart.
+
+    A bucket is what one task judges, a part what it holds at once.
+    """
 
     def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first, copies = split_classes(np.concatenate(held))
         rows = []
         # Copies need no meeting; they are spread by document.
         for runs, key, kind in ((first, first["anchor"], 0), (copies, copies["doc"], 1)):
-            bucket = (key % np.array(buckets, key.dtype)).astype(np.int64)
+            bucket = (key % np.array(buckets * PARTS, key.dtype)).astype(np.int64)
             runs, bucket = runs[np.argsort(bucket, kind="stable")], np.sort(bucket)
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
-            rows += [(int(bucket[a]), kind, _columns(runs[a:b])) for a, b in zip(cuts, cuts[1:])
-                     if b > a]
+            rows += [(int(bucket[a]) // PARTS, int(bucket[a]) % PARTS, kind, _columns(runs[a:b]))
+                     for a, b in zip(cuts, cuts[1:]) if b > a]
         for at in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows[at:at + 256]),
-                                                (pa.int32(), pa.int32(), pa.binary()))],
-                ["bucket", "copies", "runs"])
+                                                (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                ["bucket", "part", "copies", "runs"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -156,7 +160,7 @@ def gather_runs(docs: DataFrame, buckets: int) -> DataFrame:
         if count:
             yield from out(held)
 
-    return docs.mapInArrow(gathered, "bucket int, copies int, runs binary")
+    return docs.mapInArrow(gathered, "bucket int, part int, copies int, runs binary")
 
 
 def _columns(runs: np.ndarray) -> bytes:
@@ -182,16 +186,22 @@ def judge_runs(gathered: DataFrame, buckets: int) -> DataFrame:
     """
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, done = [], []
+        firsts, now = [], None
         for batch in batches:
-            for kind, blob in zip(batch.column("copies").to_pylist(), batch.column("runs").to_pylist()):
-                (done if kind else firsts).append(_runs(blob))
+            for part, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "copies", "runs"))):
+                if part != now:
+                    yield from part_verdicts(firsts)
+                    firsts, now = [], part
                 if kind:
-                    yield rows(done.pop(), False)
+                    yield rows(_runs(blob), False)
+                else:
+                    firsts.append(_runs(blob))
+        yield from part_verdicts(firsts)
+
+    def part_verdicts(firsts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not firsts:
             return
         runs = np.concatenate(firsts)
-        firsts.clear()
         # Most anchors occur once in the corpus.
         order = np.argsort(runs["anchor"], kind="stable")
         anchors = runs["anchor"][order]
@@ -211,8 +221,9 @@ def judge_runs(gathered: DataFrame, buckets: int) -> DataFrame:
              pa.array(runs["length"].astype(np.int64)), anchors],
             ["doc", "text_hash", "start", "length", "anchor"])
 
-    return gathered.repartition(buckets, "bucket").mapInArrow(
-        judged, "doc long, text_hash long, start long, length long, anchor long")
+    parts = gathered.withColumn("key", F.col("bucket") * PARTS + F.col("part"))
+    return parts.repartition(buckets, "bucket").sortWithinPartitions("key").select(
+        "key", "copies", "runs").mapInArrow(judged, "doc long, text_hash long, start long, length long, anchor long")
 
 
 PIECE = "anchor long, doc long, text_hash long, start long, at int, wide int, body binary"
