@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -249,6 +250,56 @@ def test_bpe_automaton(docs, none):
     assert bpe_automaton.encode_documents(none, WORD_BPE).count() == 0
 
 
+def test_arcs_are_the_tokens_that_may_follow():
+    """An arc leaves the state behind a token if the library cuts the two in that way."""
+    library = Tokenizer.from_file(WORD_BPE)
+    machine = bpe_automaton.automaton(WORD_BPE)
+    inner = [t for t in machine.ids if re.fullmatch("[a-z]+", t)]
+    final = [t for t in machine.ids if re.fullmatch("[a-z]+</w>", t)]
+    pick, seen = random.Random(31), Counter()
+    pairs = [(pick.choice(inner), pick.choice(final)) for _ in range(4000)]
+    # Pairs whose halves were cut from a token: most of them merge, so the arc is gone.
+    pairs += [(t[:k], t[k:]) for t in pick.sample(final, 2000) for k in range(1, len(t) - 4)
+              if t[:k] in machine.ids and t[k:] in machine.ids]
+    for a, b in pairs:
+        arc = machine.leaves(machine.after[machine.ids[a]], machine.ids[b])
+        assert arc == (library.encode(a + b[:-4], add_special_tokens=False).tokens == [a, b])
+        seen[arc] += 1
+    assert min(seen.values()) > 500
+    assert all(machine.leaves(0, i) for i in machine.ids.values())
+
+
+def test_a_token_made_twice_is_refused(tmp_path):
+    with open(WORD_BPE, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["model"]["merges"].append("a bc" if isinstance(spec["model"]["merges"][0], str) else ["a", "bc"])
+    spec["model"]["merges"].append("ab c" if isinstance(spec["model"]["merges"][0], str) else ["ab", "c"])
+    path = tmp_path / "twice.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe_automaton.TokenAutomaton(str(path))
+
+
+def test_repeated_ids_and_long_texts_of_one_pass(spark):
+    """Each row of an id gives a row; a text longer than a slice is read whole."""
+    long = prose(41, 300_000)
+    rows = [(1, "password = hunter22"), (1, "password = hunter22"), (1, "another text"), (2, long),
+            (None, "no id"), (None, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    library = Tokenizer.from_file(WORD_BPE)
+    want = Counter((d, tuple(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in
+                   bpe_automaton.encode_documents(made, WORD_BPE).collect()) == want
+    assert Counter((r.doc_id, r.n_words) for r in quality.clean_documents(made).collect()) == Counter(
+        (d, len(words_of(t))) for d, t in rows)
+    assert Counter((r.doc_id, len(r.spans)) for r in secrets.find_secrets(made).collect()) == Counter(
+        (d, len(secrets.find_spans(t))) for d, t in rows)
+    pieces = packing.pack(packing.cut_documents(made, BYTE_BPE, ranks=BYTE_RANKS)).collect()
+    own = Tokenizer.from_file(BYTE_BPE)
+    assert sum(r.length for r in pieces) == sum(
+        len(own.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
 def test_packing(spark, docs, none):
     library = Tokenizer.from_file(BYTE_BPE)
     rows = packing.pack(packing.cut_documents(docs, BYTE_BPE, ranks=BYTE_RANKS)).collect()
