@@ -84,7 +84,8 @@ with docs as (select doc_id, coalesce(text, '') as text from documents
 ), worded as (
     select *, len(w) as n, row_number() over (partition by doc_id, line order by pos) > 1 as again,
         {_COUNT.format("line", "|", 1)} as pipes, {_SYMBOLS.format("line")} as symbols,
-        {_COUNT.format("line", "!!", 2)} as shouts from lines where len(w) > 0
+        {_COUNT.format("line", "!!", 2)} as shouts,
+        regexp_extract_all({_LOWERED.format("line")}, {_listed(["|".join(BOILERPLATE)])}) as phrases from lines where len(w) > 0
 ), judged as (
     select *, case when again then 'boilerplate'
         when 5 * pipes > {RULES.symbols_per_5_words} * n then 'navigation'
@@ -93,8 +94,8 @@ with docs as (select doc_id, coalesce(text, '') as text from documents
         when n < {RULES.short_line_words} and len(list_filter(w, lambda x:
             {_LOWERED.format("x")} not in ({_listed(NAVIGATION)}))) = 0 then 'navigation'
         when n < {RULES.short_line_words} and right(w[n], 1) not in ({_listed(TERMINAL)}) then 'punctuation'
-        when {" or ".join(f"contains({_LOWERED.format('line')}, '{b}')" for b in BOILERPLATE)}
-            then 'boilerplate' end as fault from worded
+        when len(phrases) > 0 and 100 * length(array_to_string(phrases, ''))
+            >= {RULES.least_boilerplate_percent} * length(line) then 'boilerplate' end as fault from worded
 ), by_line as (
     select doc_id, sum(again::int) as n_dup_lines, count(fault) as n_removed_lines,
         sum(case when fault is not null then length(line) else 0 end) as removed_chars,

@@ -1,11 +1,14 @@
 """Quality rules: line-first cleaning (operator 10).
 
 Every line is judged by itself: punctuation, navigation and boilerplate rules. Lines that
-fail are removed, and a document that loses too much of its text is rejected. Documents are
-independent, so the work is one pass without a shuffle.
+fail are removed, and a document that loses too much of its text is rejected. A phrase of
+boilerplate fails a line only where such phrases make up a stated share of its characters, so that
+an article on one long line may speak of a privacy policy. Word lists are in English, German,
+French and Spanish. Documents are independent, so the work is one pass without a shuffle.
 
 Edge cases: a null or empty text has no words and is rejected; blank lines are neutral; a
-null id stays null; repeated ids give one row each; other columns are ignored.
+null id stays null; repeated ids give one row each; an empty table gives none; long texts are judged
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +27,21 @@ from sentinela.llm.common import slices, with_texts
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
 TERMINAL = (".", "!", "?", ":", ";", "…", "\"", "'", ")", "”", "»")
-NAVIGATION = ("about", "archive", "blog", "categories", "contact", "faq", "help", "home", "login",
-              "menu", "next", "previous", "register", "search", "sitemap", "tags")
-BOILERPLATE = ("all rights reserved", "accept cookies", "use of cookies", "enable javascript",
-               "lorem ipsum", "privacy policy", "terms of use", "terms of service",
-               "click here", "subscribe to our", "sign up for")
+NAVIGATION = (
+    "about", "archive", "blog", "categories", "contact", "faq", "help", "home", "login", "menu", "next",
+    "previous", "register", "search", "sitemap", "tags",
+    "anmelden", "archiv", "hilfe", "impressum", "kategorien", "kontakt", "startseite", "suche",
+    "accueil", "aide", "connexion", "inscription", "recherche", "sommaire",
+    "ayuda", "buscar", "contacto", "inicio", "registrarse")
+BOILERPLATE = (
+    "all rights reserved", "accept cookies", "use of cookies", "enable javascript", "lorem ipsum",
+    "privacy policy", "terms of use", "terms of service", "click here", "subscribe to our", "sign up for",
+    "alle rechte vorbehalten", "cookies akzeptieren", "verwendet cookies", "aktivieren sie javascript",
+    "klicken sie hier", "newsletter abonnieren",
+    "tous droits réservés", "accepter les cookies", "utilisation de cookies", "activer javascript",
+    "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "mentions légales",
+    "todos los derechos reservados", "aceptar las cookies", "uso de cookies", "habilite javascript",
+    "política de privacidad", "condiciones de uso", "haga clic aquí", "aviso legal")
 
 
 @dataclass(frozen=True)
@@ -38,6 +51,7 @@ class Rules:
     symbols_per_5_words: int = 1        # a line with more symbols fails
     shouts_per_2_words: int = 1         # "!!", more of them fail
     short_line_words: int = 5           # shorter lines need a terminal mark
+    least_boilerplate_percent: int = 20     # of a line's characters in such phrases
     least_words: int = 50
     most_repeated_percent: int = 50     # of words in repeated 3-word windows
     most_removed_percent: int = 50      # of the characters of lines with words
@@ -68,7 +82,8 @@ def line_fault(line: str, words: list[str], rules: Rules = RULES) -> str | None:
             return "navigation"
         if not words[-1].endswith(TERMINAL):
             return "punctuation"
-    if _BOILERPLATE.search(line.translate(_LOWER)):
+    phrases = sum(map(len, _BOILERPLATE.findall(line.translate(_LOWER))))
+    if phrases and 100 * phrases >= rules.least_boilerplate_percent * len(line):
         return "boilerplate"
     return None
 
