@@ -6,10 +6,13 @@ those in at least ``LEAST_DOCUMENTS`` training texts that are oftener in toxic o
 over k. Grades come from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of their id; all
-documents are scored, whole, in one pass.
+documents are scored, whole, in one pass. Which features have a weight is counted on Spark; only
+those, and the rows' lists of them, come to the driver, however long the labelled texts are.
 
 Edge cases: a null or empty text has no features, so its severity is that of the thresholds;
-labels with nulls are not used; without labels or with one grade only nothing is toxic.
+labels with nulls are not used; without labels or with one grade only nothing is toxic; a null id
+is scored and not trained on; repeated ids give one row each, and those with a label are trained on
+each; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import slices
+from sentinela.llm.common import drop_stored, slices, stored
 from sentinela.llm.words import mix, word_hashes, words
 
 TRAIN_ROWS = 6000
@@ -152,19 +155,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return docs.join(F.broadcast(chosen), "doc_id")
 
 
+def telling_features(rows: DataFrame) -> np.ndarray:
+    """Features that may have a weight, of rows of ``(grade, found)``: 2 to the ``BITS`` at most."""
+    sides = rows.agg(F.count_if(F.col("grade") > 0), F.count("*")).first()
+    graded, others = sides[0], sides[1] - sides[0]
+    counts = rows.select(F.explode("found").alias("feature"), (F.col("grade") > 0).alias("toxic")
+                         ).groupBy("feature").agg(F.count_if("toxic").alias("with_"), F.count("*").alias("n"))
+    ratio = F.log(((F.col("with_") + 0.5) / (graded + 1)) / ((F.col("n") - F.col("with_") + 0.5) / (others + 1)))
+    # The fit judges the edge again, by its own arithmetic.
+    known = counts.where((F.col("n") >= LEAST_DOCUMENTS) & (ratio >= LEAST_RATIO - 1e-6)).select("feature")
+    return np.sort(known.toArrow().column(0).to_numpy()).astype(np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on the chosen rows; their features, not their texts, come to the driver."""
+    """Fit on the chosen rows; the features that count, not the texts, come to the driver."""
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found, starts = features(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("grade"),
-                 pa.array([found[a:b].astype("<i4").tobytes() for a, b in zip(starts, starts[1:])],
-                          pa.binary())], ["doc_id", "grade", "found"])
+                 pa.ListArray.from_arrays(starts.astype(np.int32), found.astype(np.int32))],
+                ["doc_id", "grade", "found"])
+
+    everything = stored(training_rows(docs, labels, rows).select("doc_id", "grade", "text").mapInArrow(
+        extracted, "doc_id long, grade int, found array<int>"), "toxicity-features")
+    known = telling_features(everything)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.asarray(f, "<i4") for f in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("grade"),
+                 pa.array([f[np.isin(f, known)].tobytes() for f in own], pa.binary())],
+                ["doc_id", "grade", "found"])
 
-    got = training_rows(docs, labels, rows).select("doc_id", "grade", "text").mapInArrow(
-        extracted, "doc_id long, grade int, found binary").collect()
+    got = everything.mapInArrow(reduced, "doc_id long, grade int, found binary").collect()
+    drop_stored(everything)
     got.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.found)))     # the same sums every time
     found = [np.frombuffer(bytes(r.found), "<i4").astype(np.int64) for r in got]
     starts = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
