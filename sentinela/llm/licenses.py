@@ -7,11 +7,16 @@ retrieved if it shares one of ``BANDS`` min-hashes with a window. If the window
 quarters of a template, they have a similarity of at least 0.17, so a window is missed once in
 10,000 cases at worst. Retrieved pairs are verified by exact containment of shingles.
 
+Notices of related licenses share most of their words. Where verified places of two licenses
+overlap, the one with the smaller share of its shingles, and no more of them, gives way.
+
 Words are compared in lower case without punctuation at either end. Documents are independent:
 one pass without a shuffle.
 
 Edge cases: null, empty and short texts match nothing; a template found several times in a document
-gives one row per place; a template of fewer than five words is an error.
+gives one row per place; a null id stays null; repeated ids give the rows of each of their texts; an
+empty table gives none; long texts are scanned whole; other columns are ignored; a template of
+fewer than five words is an error.
 """
 
 from __future__ import annotations
@@ -35,6 +40,10 @@ EDGES = ".,;:!?()[]{}<>\"'*#/-_`|"
 
 # Notices and grants of common public licenses.
 TEMPLATES = {
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version."],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
@@ -44,23 +53,49 @@ TEMPLATES = {
         "either express or implied."],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0 international",
+        "permitted provided that the following conditions are met",
+        "This software is provided by the copyright holders and contributors \"as is\" and any "
+        "express or implied warranties, including, but not limited to, the implied warranties of "
+        "merchantability and fitness for a particular purpose are disclaimed."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0",
                   "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0",
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
                      "International License"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0",
+                     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+                     "International License"],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU General Public License as published by the Free Software Foundation; either version "
+        "2 of the License, or (at your option) any later version."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of "
         "the GNU General Public License as published by the Free Software Foundation, either version "
         "3 of the License, or (at your option) any later version."],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies."],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version."],
     "MIT": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         "software and associated documentation files (the \"Software\"), to deal in the Software "
         "without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
 SCHEMA = "doc_id long, license string, template int, start_word int, end_word int, shared int, shingles int"
@@ -165,7 +200,27 @@ def matches(texts: pa.Array, templates: Templates) -> list[tuple[int, int, int,
             first = int(starts[text])
             found.append((text, t, at[k] - first, at[end] - first + SHINGLE, len(seen)))
             k = end + 1
-    return found
+    return nearest_licenses(found, templates)
+
+
+def nearest_licenses(found: list[tuple[int, int, int, int, int]], templates: Templates
+                     ) -> list[tuple[int, int, int, int, int]]:
+    """The places without those where another license's template fits better."""
+
+    def worse(one: tuple, other: tuple) -> bool:
+        sizes = [len(templates.shingles[p[1]]) for p in (one, other)]
+        return one[4] * sizes[1] < other[4] * sizes[0] and one[4] <= other[4]
+
+    ordered = sorted(found, key=lambda p: (p[0], p[2]))
+    gone = set()
+    for k, one in enumerate(ordered):
+        for j in range(k + 1, len(ordered)):
+            other = ordered[j]
+            if other[0] != one[0] or other[2] >= one[3]:
+                break
+            if templates.names[one[1]][0] != templates.names[other[1]][0]:
+                gone.update(a for a, b in ((one, other), (other, one)) if worse(a, b))
+    return [p for p in found if p not in gone]
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, list[str]] | None = None, *,

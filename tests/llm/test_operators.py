@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -234,6 +235,18 @@ def test_quality(docs, none):
     assert quality.filter_documents(docs).schema == docs.schema
 
 
+def test_a_phrase_fails_a_short_line_only():
+    """A long article on one line may mention a phrase; a footer line may not."""
+    article = prose(61, 300).replace("é", "e") + " as our privacy policy and the terms of use say. " + prose(62, 200)
+    found = quality.judge(article)
+    assert found["kept"] and found["cleaned"] == article and found["n_removed_lines"] == 0
+    for footer in ("Copyright 2020. All Rights Reserved.", "Diese Seite verwendet Cookies, klicken Sie hier.",
+                   "Cliquez ici pour lire la politique de confidentialité.", "Lea la política de privacidad aquí."):
+        again = quality.judge(article + "\n" + footer)
+        assert again["failed_boilerplate"] == 1 and again["cleaned"] == article and again["kept"]
+    assert quality.line_fault("Kontakt Impressum Hilfe", ["Kontakt", "Impressum", "Hilfe"]) == "navigation"
+
+
 def test_bpe_automaton(docs, none):
     library = Tokenizer.from_file(WORD_BPE)
     machine = bpe_automaton.automaton(WORD_BPE)
@@ -413,6 +426,80 @@ def test_licenses(spark, docs, none):
         licenses.scan_licenses(docs, {"short": ["four words only here"]})
 
 
+@pytest.mark.parametrize("name, k", [(n, k) for n, own in licenses.TEMPLATES.items() for k in range(len(own))])
+def test_every_template_is_found_as_its_own_license(name, k):
+    text = prose(51, 70) + " " + licenses.TEMPLATES[name][k] + ". " + prose(52, 70)
+    templates = licenses.Templates(licenses.TEMPLATES)
+    found = [templates.names[t] for _, t, *_ in licenses.matches(pa.array([text]), templates)]
+    assert (name, k) in found and {n for n, _ in found} == {name}
+    assert not licenses.matches(pa.array([prose(51, 70) + " " + prose(52, 70), None, ""]), templates)
+
+
+def test_toxicity_beside_plain_python(spark):
+    """Features, counts of the telling ones, likelihood and severity without numpy's flat arrays."""
+    mask, levels = (1 << toxicity.BITS) - 1, toxicity.LEVELS
+
+    def mixed(value):
+        value &= (1 << 64) - 1
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            value = ((value ^ value >> shift) * factor) & ((1 << 64) - 1)
+        return value
+
+    def plain(text):
+        out = set()
+        own = [w.translate(LOWER).strip(toxicity.EDGES) for w in words_of(text)]
+        for kind, prefix in enumerate((None, *toxicity.PREFIXES)):
+            some = own if prefix is None else [w[:prefix] for w in own if len(w) > prefix]
+            if prefix is None:
+                some = [w for w in some if w]
+            counts = Counter(mixed(xxhash.xxh3_64_intdigest(w) + kind) & mask for w in some)
+            out |= {mixed(n * levels + level) & mask for n, c in counts.items()
+                    for level in range(levels) if c >= 1 << level}
+        return out
+
+    pick = random.Random(71)
+    rows = []
+    for k in range(90):
+        some = prose(700 + k, 30).split() + ["idiot", "moron!"] * (2 * (k % 3)) + ["nothing"] * (k % 5)
+        pick.shuffle(some)
+        rows.append((k, " ".join(some)))
+    sets = [plain(t) for _, t in rows]
+    found, starts = toxicity.features(pa.array([t for _, t in rows]))
+    assert [set(found[a:b].tolist()) for a, b in zip(starts, starts[1:])] == sets
+    labels = [(k, 1 if k % 3 < 2 else 0, int(k % 3 > 0)) for k in range(90)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    own = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(made, own)
+    grades = [k % 3 for k in range(90)]
+    with_, all_ = Counter(), Counter()
+    for g, s in zip(grades, sets):
+        all_.update(s)
+        with_.update(s if g else ())
+    telling = sorted(f for f, c in all_.items() if c >= toxicity.LEAST_DOCUMENTS and np.log(
+        ((with_[f] + 0.5) / 61) / ((c - with_[f] + 0.5) / 31)) >= toxicity.LEAST_RATIO)
+    assert model.known.tolist() == telling and telling
+
+    def chance(score, thresholds, grade):
+        above = [1.0, *(1 / (1 + np.exp(t - score)) for t in thresholds), 0.0]
+        return above[grade] - above[grade + 1]
+
+    def likelihood(weights, thresholds):
+        by_feature = dict(zip(telling, weights))
+        return sum(np.log(max(chance(sum(by_feature.get(f, 0) for f in s), thresholds, g), 1e-300))
+                   for g, s in zip(grades, sets))
+
+    best = likelihood(model.weights, model.thresholds)
+    assert best > likelihood(0 * model.weights, np.log([0.5, 2.0])) / 4
+    noise = np.random.default_rng(72)
+    for _ in range(10):
+        assert best > likelihood(model.weights + noise.normal(size=len(telling)), model.thresholds)
+    by_feature = dict(zip(telling, model.weights))
+    for r in toxicity.score_documents(made, model).collect():
+        score = sum(by_feature.get(f, 0) for f in sets[r.doc_id])
+        assert abs(r.expected_severity - sum(1 / (1 + np.exp(t - score)) for t in model.thresholds)) < 1e-9
+        assert r.grade == sum(score >= t for t in model.thresholds)
+
+
 def test_toxicity(spark, docs, none):
     pick = random.Random(6)
     rows, labels = [], []
