@@ -18,9 +18,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 # Text that a Python task works on at once. Arrow batches hold a number of rows, and rows
 # may be long, so tasks cut them into slices of about this size.
 SLICE_BYTES = 1 << 20
-# Workers give large arrays back to the system at once instead of keeping them for reuse.
-WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(1 << 18),
-                 "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
+# Workers reuse the memory of arrays up to the size of a batch, and give what is larger, or more than
+# a few batches in all, back to the system. Taking every array anew costs as much as the work on it.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(8 << 20),
+                 "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "MALLOC_ARENA_MAX": "2"}
 # Bytes of an Arrow batch, of which a Python worker holds one or two.
 BATCH_BYTES = 8 << 20
 

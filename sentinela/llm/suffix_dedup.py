@@ -22,7 +22,7 @@ with most of their rest to the right of the anchor and those with most of it to
 each with the nearer half of that rest as part of the new anchor. After a few such rounds
 an anchor is a whole window.
 
-Hashes of equal pieces have 64 bits beside the anchor's 64 and the length.
+Equal pieces are told by 128 bits beside the anchor's 64; pieces of split anchors byte by byte.
 
 Edge cases: a null or empty text has no bytes; rows equal in id and text, also of null id, have
 equal results and don't repeat each other; rows that share an id otherwise are ordered by place alone; rows with a null id come after all
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ TASK_RUNS = 250_000         # pieces that a task gathers before it sends them on
 PARTS = 32                  # of a bucket of anchors, judged one after another
 LAST = (1 << 63) - 1
 
-RUN = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"),
+RUN = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("text", "<i8"),
                 ("start", "<u4"), ("length", "<u4")])
 _GRAM_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -96,11 +97,11 @@ def split_classes(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Repeated rows are one run. Texts that share an id may share the first place: all are kept.
     """
-    runs = runs[np.lexsort((runs["text"], runs["start"], runs["doc"], runs["length"], runs["hash"],
+    runs = runs[np.lexsort((runs["text"], runs["start"], runs["doc"], runs["check"], runs["hash"],
                             runs["anchor"]))]
     same = np.zeros(len(runs), bool)
     same[1:] = ((runs["anchor"][1:] == runs["anchor"][:-1]) & (runs["hash"][1:] == runs["hash"][:-1])
-                & (runs["length"][1:] == runs["length"][:-1]))
+                & (runs["check"][1:] == runs["check"][:-1]))
     own = np.flatnonzero(same)
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(runs))))[own]
     later, again = np.zeros(len(runs), bool), np.zeros(len(runs), bool)
@@ -150,8 +151,9 @@ def gather_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 runs = np.empty(len(anchors), RUN)
                 runs["anchor"], runs["start"], runs["length"] = anchors, starts, lengths
                 runs["doc"], runs["text"] = doc, key
-                runs["hash"] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in
-                                zip(starts.tolist(), (starts + lengths).tolist())]
+                digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in
+                                    zip(starts.tolist(), (starts + lengths).tolist())])
+                runs["hash"], runs["check"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
                 held.append(runs)
                 count += len(runs)
                 if count >= TASK_RUNS:
@@ -233,22 +235,22 @@ _PIECE = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("text_hash", p
 
 
 def fetch_pieces(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of requested pieces, with the place ``at`` and width of their anchor inside."""
+    """The bytes of requested pieces and the width of their anchor; where it lies (``at``) is left open."""
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows = []
-            for doc, key, text, asked in zip(*(part.column(c).to_pylist() for c in
-                                               ("doc", "text_hash", "text", "asked"))):
+            counts = pc.list_value_length(part.column("asked")).to_numpy()
+            starts, lengths, anchors = part.column("asked").flatten().flatten()
+            cuts = list(zip(starts.to_pylist(), lengths.to_pylist()))
+            bodies, at = [], 0
+            for text, count in zip(part.column("text").to_pylist(), counts.tolist()):
                 data = text.encode()
-                for run in asked:
-                    body = data[run["start"]:run["start"] + run["length"]]
-                    last = np.frombuffer(body, np.uint8)[len(body) - WINDOW:]
-                    at = len(body) - WINDOW + int(gram_hashes(last).argmin())
-                    rows.append((run["anchor"], doc, key, run["start"], at, GRAM, body))
+                bodies += [data[start:start + length] for start, length in cuts[at:at + count]]
+                at += count
+            doc, key = (pa.array(np.repeat(part.column(c).to_numpy(), counts)) for c in ("doc", "text_hash"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 7, _PIECE)],
-                schema=_PIECE)
+                [anchors, doc, key, starts, pa.nulls(at, pa.int32()),
+                 pa.array(np.full(at, GRAM, np.int32)), pa.array(bodies, pa.binary())], schema=_PIECE)
 
     asked = requests.groupBy("doc", "text_hash").agg(
         F.collect_list(F.struct("start", "length", "anchor")).alias("asked"))
@@ -263,6 +265,10 @@ def widen_anchors(pieces: DataFrame) -> DataFrame:
             rows = []
             for row in batch.to_pylist():
                 body, at, wide = row["body"], row["at"], row["wide"]
+                if at is None:
+                    # All windows of a piece hold its anchor, so the last one does.
+                    last = np.frombuffer(body, np.uint8)[len(body) - WINDOW:]
+                    at = len(body) - WINDOW + int(gram_hashes(last).argmin())
                 rest = WINDOW - wide
                 near = (rest + 1) // 2
                 # Windows that start at 0 .. len(body) - WINDOW; beyond the anchor they have
@@ -293,9 +299,8 @@ def split_hot(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
             return pieces if cold is None else cold.unionByName(pieces), copies
         rest = pieces.join(hot, "anchor", "left_anti").select(*_PIECE.names)
         cold = rest if cold is None else cold.unionByName(rest)
-        split = stored(widen_anchors(pieces.join(hot, "anchor")), "suffix-split").withColumn(
-            "hash", F.xxhash64("body"))
-        own = ["anchor", "hash"]
+        split = stored(widen_anchors(pieces.join(hot, "anchor").select(*_PIECE.names)), "suffix-split")
+        own = ["anchor", "body"]
         firsts = split.groupBy(*own).agg(F.min(F.struct("doc", "start")).alias("first"))
         several = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"))
         marked = split.join(firsts, own).withColumn(
@@ -384,15 +389,21 @@ def repeated_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
         F.collect_list(F.struct("start", F.expr("start + length as end"))).alias("spans"))
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the spans cover."""
-    out: list[list[int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+def removed_runs(spans: pa.Array) -> list[list[tuple[int, int]]]:
+    """For each row the maximal runs of bytes that its spans cover."""
+    counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    starts, ends = (c.to_numpy() for c in spans.flatten().flatten())
+    rows = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((starts, rows))
+    # One line for all rows, on which a row's bytes end before the next one's begin.
+    shift = rows << 40
+    starts, ends = starts[order] + shift, np.maximum.accumulate(ends[order] + shift)
+    new = np.append(True, starts[1:] > ends[:-1])[:len(starts)]
+    last = np.append(new[1:], True)[:len(starts)]
+    rows, mask = rows[new], (1 << 40) - 1
+    bounds = list(zip((starts[new] & mask).tolist(), (ends[last] & mask).tolist()))
+    cuts = np.searchsorted(rows, np.arange(len(counts) + 1)).tolist()
+    return [bounds[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -410,9 +421,9 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             rows = []
-            for doc, text, spans in zip(*(part.column(c).to_pylist() for c in
-                                          ("doc", "text", "spans"))):
-                data, runs = text.encode(), merged(spans)
+            for doc, text, runs in zip(*(part.column(c).to_pylist() for c in ("doc", "text")),
+                                       removed_runs(part.column("spans"))):
+                data = text.encode()
                 rows.append((None if doc == LAST else doc, len(data),
                              sum(b - a for a, b in runs), len(runs), kept_bytes(data, runs)))
             yield pa.RecordBatch.from_arrays(
@@ -437,13 +448,13 @@ def drop_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
         for part in slices(batches, "text"):
             rows = pa.RecordBatch.from_struct_array(part.column("row"))
             texts, stays = [], []
-            for own, text, spans in zip(rows.column(text_column).to_pylist(),
-                                        part.column("text").to_pylist(),
-                                        part.column("spans").to_pylist()):
-                if spans:
-                    own = kept_bytes(text.encode(), merged(spans)).decode("utf-8", "ignore")
+            for own, text, runs in zip(rows.column(text_column).to_pylist(),
+                                       part.column("text").to_pylist(),
+                                       removed_runs(part.column("spans"))):
+                if runs:
+                    own = kept_bytes(text.encode(), runs).decode("utf-8", "ignore")
                 texts.append(own)
-                stays.append(not spans or bool(own.strip()))
+                stays.append(not runs or bool(own.strip()))
             yield with_texts(rows, text_column, length_column, texts).filter(pa.array(stays, pa.bool_()))
 
     spans = repeated_spans(docs, id_column=id_column, text_column=text_column)
