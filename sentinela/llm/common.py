@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,22 +57,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Folders written inside the ``temporary_steps`` blocks that are open.
+_open_blocks: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step into a new folder below the shared one and read it back.
 
-    Cuts the lineage: a lost executor costs the tasks after this point only.
+    Cuts the lineage: a lost executor costs the tasks after this point only. The folder stays unless
+    ``drop_stored`` or a ``temporary_steps`` block removes it.
     """
     path = new_folder(df.sparkSession, name)
+    for block in _open_blocks:
+        block.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove a table written by ``stored`` that no later step reads."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def temporary_steps(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end, also after an error, what ``stored`` wrote inside the block.
+
+    For jobs that write their result elsewhere before the block ends; a DataFrame that is
+    still to be computed from such steps would miss them.
+    """
+    made: list[str] = []
+    _open_blocks.append(made)
+    try:
+        yield
+    finally:
+        _open_blocks[:] = [block for block in _open_blocks if block is not made]
+        for folder in made:
+            _delete(spark, folder)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

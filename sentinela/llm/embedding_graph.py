@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ DENSE_COSINE = 0.9          # centres this near form one shard; classes this nea
 MOST = 1500                 # classes of a block
 CANDIDATES, FAR, DEGREE, ALPHA = 40, 16, 24, 1.2
 MEDOIDS, BEAM, QUERIES = 24, 12, 128
+STEP_ARCS, STEP_VALUES = 1 << 19, 1 << 20       # arcs and components that a step of a search holds
 AUDIT = 64                  # queries of the audit, half of them among classes with links
 LEAST_RECALL = 0.9          # of the audit; less is an error
 
@@ -206,38 +208,78 @@ def medoids(vectors: np.ndarray) -> np.ndarray:
     return np.unique(found)
 
 
-def range_search(vectors: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray
-                 ) -> list[np.ndarray]:
+def both_ways(reps: np.ndarray, near: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of every row, row after row, and where each row's begin.
+
+    From lists of neighbours' ``reps``, which ascend. Every arc goes both ways, so that a row that is
+    nobody's nearest is still found.
+    """
+    n = len(reps)
+    others = near.flatten().to_numpy()
+    rows = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(near), 0).to_numpy())
+    places = np.minimum(np.searchsorted(reps, others), n - 1)
+    here = reps[places] == others
+    rows, places = rows[here], places[here]
+    arcs = np.unique(np.concatenate([rows * n + places, places * n + rows]))
+    return arcs % n, np.searchsorted(arcs, np.arange(n + 1) * n)
+
+
+def range_search(vectors: np.ndarray, arcs: tuple[np.ndarray, np.ndarray], starts: np.ndarray,
+                 queries: np.ndarray) -> list[np.ndarray]:
     """For each query row, the rows found within range.
 
-    Each step looks at the neighbours of a query's best row not yet looked at. A query ends when
-    that row is neither in range nor among the ``BEAM`` best seen.
+    Each step looks at the neighbours of all rows in range that were not yet looked at, or, where
+    there are none, of a query's best row. A query ends when that row is neither in range nor
+    among the ``BEAM`` best seen.
     """
     slack = LEAST_COSINE - 1e-9
+    others, begins = arcs
+    degrees = np.diff(begins)
+    n, wide = len(vectors), max(1, STEP_VALUES // vectors.shape[1])
     found = []
     for at in range(0, len(queries), QUERIES):
         own = queries[at:at + QUERIES]
         asked = vectors[own]
-        seen = np.full((len(own), len(vectors)), -2.0)     # likeness of the rows seen
+        seen = np.full((len(own), n), -2.0)                 # likeness of the rows seen
         seen[:, starts] = asked @ vectors[starts].T
         # A query is a row itself: a group that no path from the medoids enters is seen from inside.
         seen[np.arange(len(own)), own] = 1.0
         ahead = seen.copy()                                 # of those not looked at yet
+
+        def look(rows: np.ndarray, places: np.ndarray) -> None:
+            """See the neighbours of some rows, a bounded number at once."""
+            ahead[rows, places] = -2.0
+            ends = np.cumsum(degrees[places])
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], STEP_ARCS), "right"))
+            for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+                amount = degrees[places[a:b]]
+                first = np.repeat(begins[places[a:b]] - (np.cumsum(amount) - amount), amount)
+                to = others[first + np.arange(len(first))]
+                new = np.repeat(rows[a:b], amount) * n + to
+                new = new[seen.ravel()[new] <= -2]
+                if len(new) < seen.size >> 5:
+                    new = np.unique(new)
+                else:                                       # marks are faster than a sort
+                    marks = np.zeros(seen.size, bool)
+                    marks[new] = True
+                    new = np.flatnonzero(marks)
+                for k in range(0, len(new), wide):
+                    of, to = np.divmod(new[k:k + wide], n)
+                    seen[of, to] = ahead[of, to] = np.einsum("nd,nd->n", asked[of], vectors[to])
+
         going = np.arange(len(own))
         while len(going):
+            rows, places = np.nonzero(ahead[going] >= slack)
+            if len(rows):
+                look(going[rows], places)
+                continue
             best = ahead[going].argmax(1)
             value = ahead[going, best]
-            beam = -np.partition(-seen[going], min(BEAM, len(vectors)) - 1, axis=1)[
-                :, min(BEAM, len(vectors)) - 1]
-            more = (value > -2) & ((value >= slack) | (value >= beam))
+            beam = -np.partition(-seen[going], min(BEAM, n) - 1, axis=1)[:, min(BEAM, n) - 1]
+            more = (value > -2) & (value >= beam)
             going, best = going[more], best[more]
-            ahead[going, best] = -2.0
-            near = graph[best]
-            rows, columns = np.nonzero(near >= 0)
-            to, of = near[rows, columns], going[rows]
-            new = seen[of, to] <= -2
-            to, of = to[new], of[new]
-            seen[of, to] = ahead[of, to] = np.einsum("nd,nd->n", asked[of], vectors[to])
+            if len(going):
+                look(going, best)
         found += [np.flatnonzero(row >= slack) for row in seen]
     return found
 
@@ -274,17 +316,7 @@ def search_shards(members: DataFrame) -> DataFrame:
     def searched(group: pa.Table) -> pa.RecordBatch:
         reps, weights = group.column("rep").to_numpy(), group.column("weight").to_numpy()
         vectors, blocks = matrix(group.column("vector")), group.column("block").to_numpy()
-        place = {rep: row for row, rep in enumerate(reps.tolist())}
-        lists = [[place[r] for r in near or () if r in place] for near in group.column("near").to_pylist()]
-        # Both ways, so that a row that is nobody's nearest is still found.
-        both = [set(near) for near in lists]
-        for row, near in enumerate(lists):
-            for other in near:
-                both[other].add(row)
-        lists = [sorted(near) for near in both]
-        graph = np.full((len(reps), max(1, *map(len, lists))), -1)
-        for row, near in enumerate(lists):
-            graph[row, :len(near)] = near
+        arcs = both_ways(reps, group.column("near").combine_chunks())
         shard, ends = group.column("shard")[0].as_py(), {group.column(c)[0].as_py() for c in "ij"}
         # A pair counts in its first common shard: marks of the shards before this one.
         own = group.column("shards").to_pylist()
@@ -293,7 +325,7 @@ def search_shards(members: DataFrame) -> DataFrame:
         for row, shards in enumerate(own):
             marks[row, [before[s] for s in shards if s < shard]] = 1
         hit = np.zeros((len(reps), len(reps)), bool)
-        for row, near in enumerate(range_search(vectors, graph, medoids(vectors), np.arange(len(reps)))):
+        for row, near in enumerate(range_search(vectors, arcs, medoids(vectors), np.arange(len(reps)))):
             hit[row, near] = hit[near, row] = True
         links, root = np.zeros(len(reps), np.int64), np.arange(len(reps))
         for a in range(len(reps)):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sentinela.llm.quality import BOILERPLATE, NAVIGATION, RULES, SYMBOLS, TERMINAL
+from sentinela.llm.secrets import BASE62
 
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +26,37 @@ select page_id, payload_bytes, payload_digest,
 from firsts
 """
 
+# Windows as byte strings; the first of equal ones has the smallest id (null last) and start. A run
+# ends where no repeated window begins inside it or right behind it.
+ORACLES["op2_suffix_array"] = """
+with docs as (
+    select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as d, encode(coalesce(text, '')) as b
+    from documents
+), windows as (
+    select r, d, s, b[s:s + 99] as w from (
+        select r, d, b, unnest(range(1, octet_length(b) - 98)) as s from docs where octet_length(b) >= 100)
+), again as (
+    select r, s from (select r, s, (d, s) != min((d, s)) over (partition by w) as later from windows) where later
+), edges as (
+    select r, s, s > lag(s) over (partition by r order by s) + 100 as is_new from again
+), runs as (
+    select r, min(s) as a, max(s) + 100 as e from (
+        select r, s, sum(coalesce(is_new, true)::int) over (partition by r order by s) as k from edges)
+    group by r, k
+), sums as (
+    select r, cast(count(*) as bigint) as n_spans, cast(sum(e - a) as bigint) as n_removed from runs group by r
+), pieces as (
+    select r, e as p, lead(a, 1, 9223372036854775807) over (partition by r order by e) as q
+    from (select r, a, e from runs union all select r, 0, 1 from docs)
+), kept as (
+    select r, string_agg(hex(b[p:least(q, octet_length(b) + 1) - 1]), '' order by p) as h
+    from pieces join docs using (r) where p < least(q, octet_length(b) + 1) group by r
+)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed,
+    coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(h, ''))) as kept_sha256
+from docs left join sums using (r) left join kept using (r)
+"""
+
 ORACLES["op3_flat_graph"] = """
 with recursive units as (
     select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
@@ -74,6 +106,54 @@ _LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 _COUNT = "(length({0}) - length(replace({0}, '{1}', ''))) // {2}"
 _SYMBOLS = " + ".join(_COUNT.format("{0}", s, 1) for s in SYMBOLS)
 
+# A match starts behind the pieces between matches and the matches before it. The last two kinds carry
+# CRC-32 of their body in base 62.
+_SECRETS = (
+    ("assign", "(?:" + "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in (
+        "password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+     r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(value) >= 6"),
+    ("access", "(AKIA[A-Z0-9]+)", "length(value) >= 20"),
+    ("hex", "([0-9a-f]{24,})", "true"),
+    ("github", "gh[opusr]_([A-Za-z0-9]+)", "length(value) = 36 and alone and holds"),
+    ("npm", "npm_([A-Za-z0-9]+)", "length(value) = 36 and alone and holds"))
+_CRC = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(
+        string_split({0}, ''), lambda c: cast(ascii(c) as bigint))), lambda a, b: list_reduce(
+        list_prepend(xor(a, b), range(8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384)
+            else x >> 1 end)), 4294967295)"""
+_MATCHES = " union all ".join(
+    f"""select r, '{kind}' as kind, {k} as k, regexp_extract_all(text, '{pattern}') as m,
+        regexp_extract_all(text, '{pattern}', 1) as v, string_split_regex(text, '{pattern}') as s from docs"""
+    for k, (kind, pattern, _) in enumerate(_SECRETS))
+
+ORACLES["op9_secrets"] = f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), found as ({_MATCHES}
+), placed as (
+    select r, kind, k, m[i] as whole, v[i] as value, cast(list_sum(list_transform(s[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as start
+    from (select *, unnest(range(1, len(m) + 1)) as i from found)
+), tested as (
+    select p.*, start + length(whole) as stop,
+        start = 0 or not regexp_matches(substr(text, start, 1), '[A-Za-z0-9]') as alone,
+        case when k >= 3 and length(value) = 36 then array_to_string(list_transform(
+            [916132832, 14776336, 238328, 3844, 62, 1], lambda d: substr(
+                '{BASE62}', cast(1 + {_CRC.format("value[1:30]")} // d % 62 as int), 1)), '')
+            = value[31:36] end as holds
+    from placed p join docs using (r)
+), spans as (
+    select r, kind, k, start, kind || ':' || start || ':' || stop as span from tested
+    where case k {" ".join(f"when {k} then {rule}" for k, (_, _, rule) in enumerate(_SECRETS))} end
+), lists as (
+    select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access,
+        count(*) filter (k = 2) as n_hex, string_agg(span, ',' order by start, k) as spans,
+        string_agg(span, ',' order by start, k) filter (k < 3) as base
+    from spans group by r
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
+    coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join lists using (r)
+"""
+
 ORACLES["op10_quality"] = f"""
 with docs as (select doc_id, coalesce(text, '') as text from documents
 ), parts as (

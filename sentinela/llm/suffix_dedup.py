@@ -46,7 +46,7 @@ from sentinela.llm.words import mix
 
 WINDOW = 100
 GRAM = 24
-SHARD_BYTES = 1 << 19       # text that one suffix array is built of; it takes some 100 bytes a byte
+SHARD_BYTES = 1 << 18       # text that one suffix array is built of; it takes some 100 bytes a byte
 HOT_BYTES = 1 << 21         # an anchor's different pieces beyond this are split
 TASK_RUNS = 250_000         # pieces that a task gathers before it sends them on
 PARTS = 32                  # of a bucket of anchors, judged one after another
